@@ -166,19 +166,31 @@ def array_dot(a: Column, b: Column) -> Column:
     return array_sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body` (lambda bodies are not shared by the optimizer)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_percentile(values: Column, p: float) -> Column:
     """Interpolated percentile of one bounded array (a window, never a group)."""
-    ordered = F.sort_array(values)
-    at = (F.size(values) - 1) * F.lit(p)
-    lo = F.get(ordered, F.floor(at).cast("int"))
-    return lo + (F.get(ordered, F.ceil(at).cast("int")) - lo) * (at - F.floor(at))
+
+    def pick(v: Column) -> Column:
+        pos = (F.size(v) - 1) * F.lit(p)
+        lo = F.get(v, F.floor(pos).cast("int"))
+        return lo + (F.get(v, F.ceil(pos).cast("int")) - lo) * (pos - F.floor(pos))
+
+    return let(F.sort_array(values), pick)
 
 
 def percentile_scale(values: Column, p: float, floor: float = 1e-6) -> Column:
     """p-percentile of absolute values; tiny scales fall back to the maximum, then to 1."""
     magnitude = F.transform(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v)), lambda v: F.abs(v))
-    scale, top = array_percentile(magnitude, p), F.array_max(magnitude)
-    return F.when(scale >= floor, scale).when(top >= floor, top).otherwise(F.lit(1.0))
+
+    def choose(m: Column) -> Column:
+        pair = F.struct(array_percentile(m, p).alias("scale"), F.array_max(m).alias("top"))
+        return let(pair, lambda s: F.when(s["scale"] >= floor, s["scale"]).when(s["top"] >= floor, s["top"]).otherwise(F.lit(1.0)))
+
+    return let(magnitude, choose)
 
 
 def clip_to_scale(values: Column, scale: Column) -> Column:

@@ -131,8 +131,8 @@ def x10(spark, sf):
 s AS (SELECT vec_id, x, quantile_cont(u, 0.9) AS scale FROM (SELECT vec_id, x, unnest(m) AS u FROM a) GROUP BY vec_id, x)
 SELECT vec_id, {r6("scale")} AS scale, {r6("list_sum(list_transform(x, lambda v: greatest(least(v / scale, 1e0), -1e0)))")} AS clipped_sum FROM s"""))
 def x11(spark, sf):
-    w = t.windows(spark, sf).withColumn("scale", fx.percentile_scale(F.col("x"), 0.9))
-    return w.select("vec_id", rnd("scale").alias("scale"), rnd(fx.array_sum(fx.clip_to_scale(F.col("x"), F.col("scale")))).alias("clipped_sum"))
+    w = t.windows(spark, sf).withColumn("s", fx.percentile_scale(F.col("x"), 0.9))
+    return w.select("vec_id", rnd("s").alias("scale"), rnd(fx.array_sum(fx.clip_to_scale(F.col("x"), F.col("s")))).alias("clipped_sum"))
 
 
 @query("x12_linear_resize", with_views("windows", f"""
