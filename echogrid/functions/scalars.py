@@ -143,15 +143,18 @@ def membership_hash(df: DataFrame, keys: Sequence[str], member: str, block: int
 
 def linear_resize(values: Column, bins: int) -> Column:
     """Resize an array to `bins` points by linear interpolation on [0, 1]."""
-    last = F.size(values) - 1
 
-    def point(k: Column) -> Column:
-        at = k * last / F.lit(float(bins - 1))
-        lo = F.least(F.floor(at).cast("int"), F.greatest(last - 1, F.lit(0)))
-        hi = F.least(lo + 1, last)
-        return F.get(values, lo) + (F.get(values, hi) - F.get(values, lo)) * (at - lo)
+    def resize(v: Column) -> Column:
+        last = F.size(v) - 1
 
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), point)
+        def point(k: Column) -> Column:
+            pos = k * last / F.lit(float(bins - 1))
+            lo = F.least(F.floor(pos).cast("int"), F.greatest(last - 1, F.lit(0)))
+            return F.get(v, lo) + (F.get(v, F.least(lo + 1, last)) - F.get(v, lo)) * (pos - lo)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), point)
+
+    return let(values, resize)
 
 
 def array_mean(values: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the checkpoint folder so several readers share it and a lost executor re-reads it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name next to the checkpoints, for tables a job writes and reads back."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
