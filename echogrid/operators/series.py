@@ -222,16 +222,19 @@ def hampel(values: Column, width: int, sigmas: float = 3.0) -> Column:
     r = width // 2
     middle = lambda a: F.get(F.sort_array(a), F.lit(r))
 
-    def one(x: Column, i: Column) -> Column:
-        near = F.transform(F.sequence(i - r, i + r), lambda k: F.get(values, _reflect(k, F.size(values))))
+    def clean(x: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            near = F.transform(F.sequence(i - r, i + r), lambda k: F.get(x, _reflect(k, F.size(x))))
 
-        def decide(pair: Column) -> Column:
-            mad = middle(F.transform(pair["near"], lambda v: F.abs(v - pair["med"])))
-            return F.when(F.abs(x - pair["med"]) > sigmas * 1.4826 * F.greatest(mad, F.lit(1e-8)), pair["med"]).otherwise(x)
+            def decide(pair: Column) -> Column:
+                mad = middle(F.transform(pair["near"], lambda u: F.abs(u - pair["med"])))
+                return F.when(F.abs(v - pair["med"]) > sigmas * 1.4826 * F.greatest(mad, F.lit(1e-8)), pair["med"]).otherwise(v)
 
-        return fx.let(near, lambda a: fx.let(F.struct(a.alias("near"), middle(a).alias("med")), decide))
+            return fx.let(near, lambda a: fx.let(F.struct(a.alias("near"), middle(a).alias("med")), decide))
 
-    return F.transform(values, one)
+        return F.transform(x, one)
+
+    return fx.let(values, clean)
 
 
 def savgol_taps(width: int) -> list[float]:
@@ -244,12 +247,12 @@ def savgol_taps(width: int) -> list[float]:
 def savgol2(values: Column, width: int) -> Column:
     r = width // 2
     taps = F.array(*[F.lit(v) for v in savgol_taps(width)])
-    return F.transform(values, lambda x, i: fx.array_sum(F.zip_with(
-        F.transform(F.sequence(i - r, i + r), lambda k: F.get(values, _reflect(k, F.size(values)))), taps, lambda a, b: a * b)))
+    smooth = lambda x: F.transform(x, lambda _, i: fx.array_sum(F.transform(taps, lambda w, j: w * F.get(x, _reflect(i - r + j, F.size(x))))))
+    return fx.let(values, smooth)
 
 
 def difference(values: Column) -> Column:
-    return F.transform(values, lambda x, i: F.when(i == 0, 0.0).otherwise(x - F.get(values, i - 1)))
+    return fx.let(values, lambda x: F.transform(x, lambda v, i: F.when(i == 0, 0.0).otherwise(v - F.get(x, i - 1))))
 
 
 def center(values: Column) -> Column:
@@ -258,9 +261,8 @@ def center(values: Column) -> Column:
 
 def detrend(values: Column) -> Column:
     """Subtract mean and least-squares slope over a time axis running from -1 to 1."""
-    axis = lambda i: 2.0 * i / (F.size(values) - 1) - 1.0
-
     def fit(c: Column) -> Column:
+        axis = lambda i: 2.0 * i / (F.size(c) - 1) - 1.0
         up = fx.array_sum(F.transform(c, lambda v, i: v * axis(i)))
         down = fx.array_sum(F.transform(c, lambda v, i: axis(i) * axis(i)))
         return fx.let(up / down, lambda slope: F.transform(c, lambda v, i: v - slope * axis(i)))

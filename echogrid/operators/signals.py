@@ -226,14 +226,18 @@ def zscore(values: Column, floor: float = 1e-8) -> Column:
 
 def moving_variance_array(values: Column, half: int) -> Column:
     """Padded moving variance of one packed window."""
-    n = F.size(values)
     size = 2 * half + 1
 
-    def at(i: Column) -> Column:
-        near = F.transform(F.sequence(i - half, i + half), lambda k: F.get(values, F.greatest(F.lit(0), F.least(k, n - 1))))
-        return fx.let(near, lambda a: fx.let(fx.array_mean(a), lambda m: (fx.array_dot(a, a) / size - m * m) * (size / (2 * half))))
+    def over(x: Column) -> Column:
+        n = F.size(x)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+        def at(i: Column) -> Column:
+            near = F.transform(F.sequence(i - half, i + half), lambda k: F.get(x, F.greatest(F.lit(0), F.least(k, n - 1))))
+            return fx.let(near, lambda a: fx.let(fx.array_mean(a), lambda m: (fx.array_dot(a, a) / size - m * m) * (size / (2 * half))))
+
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    return fx.let(values, over)
 
 
 def standard_acf(values: Column, lags: Column) -> Column:
@@ -252,67 +256,83 @@ def acf_lag_count(n: Column, fs: float, max_lag_s: float) -> Column:
 
 def curve_at(curve: Column, fs: float, points: int = 129, span: float = 0.4) -> Column:
     """Curve on integer lags read at `points` positions on 0..span seconds."""
-    def point(k: Column) -> Column:
-        pos = k * F.lit(span * fs / (points - 1))
-        lo = F.least(F.floor(pos).cast("int"), F.size(curve) - 1)
-        return F.get(curve, lo) + (F.get(curve, F.least(lo + 1, F.size(curve) - 1)) - F.get(curve, lo)) * (pos - lo)
+    def read(c: Column) -> Column:
+        def point(k: Column) -> Column:
+            pos = k * F.lit(span * fs / (points - 1))
+            lo = F.least(F.floor(pos).cast("int"), F.size(c) - 1)
+            return F.get(c, lo) + (F.get(c, F.least(lo + 1, F.size(c) - 1)) - F.get(c, lo)) * (pos - lo)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), point)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), point)
+    return fx.let(curve, read)
 
 
 def _crossing(curve: Column, threshold: float, dt: float) -> Column:
-    below = F.transform(curve, lambda v: v <= threshold)
-    j = F.array_position(below, F.lit(True)).cast("int") - 1
-    a, b = F.get(curve, j - 1), F.get(curve, j)
-    return F.when(j < 0, F.lit(None).cast("double")).when(j == 0, F.lit(0.0)).otherwise((j - 1 + (a - threshold) / (a - b)) * dt)
+    def at(j: Column) -> Column:
+        a, b = F.get(curve, j - 1), F.get(curve, j)
+        return F.when(j < 0, F.lit(None).cast("double")).when(j == 0, F.lit(0.0)).otherwise((j - 1 + (a - threshold) / (a - b)) * dt)
+
+    return fx.let(F.array_position(F.transform(curve, lambda v: v <= threshold), F.lit(True)).cast("int") - 1, at)
 
 
 def _peaks(curve: Column, sign: int, prominence: float) -> Column:
     """(index, value, prominence) of strict local maxima of sign*curve with at least this prominence, in order."""
-    y = curve if sign > 0 else F.transform(curve, lambda v: -v)
-
     def with_prominence(v: Column) -> Column:
         n = F.size(v)
         inner = F.filter(F.sequence(F.lit(1), n - 2), lambda i: (F.get(v, i) > F.get(v, i - 1)) & (F.get(v, i) > F.get(v, i + 1)))
 
-        def base(i: Column, side: Column) -> Column:
+        def base(top: Column, side: Column) -> Column:
             # walk away from the peak until a higher sample, keeping the lowest value on the way
-            walk = F.aggregate(side, F.struct(F.get(v, i).alias("lo"), F.lit(True).alias("open")), lambda s, k: F.struct(
-                F.when(s["open"] & (F.get(v, k) <= F.get(v, i)), F.least(s["lo"], F.get(v, k))).otherwise(s["lo"]).alias("lo"),
-                (s["open"] & (F.get(v, k) <= F.get(v, i))).alias("open")))
-            return walk["lo"]
+            start = F.struct(top.alias("lo"), F.lit(True).alias("open"))
+            step = lambda s, k: fx.let(F.get(v, k), lambda x: fx.let(s["open"] & (x <= top), lambda on: F.struct(
+                F.when(on, F.least(s["lo"], x)).otherwise(s["lo"]).alias("lo"), on.alias("open"))))
+            return F.aggregate(side, start, step)["lo"]
 
-        return F.filter(F.transform(inner, lambda i: F.struct(
-            i.alias("i"), F.get(curve, i).alias("value"),
-            (F.get(v, i) - F.greatest(base(i, F.sequence(i - 1, F.lit(0), F.lit(-1))), base(i, F.sequence(i + 1, n - 1)))).alias("prominence"))),
-            lambda p: p["prominence"] >= prominence)
+        def measure(i: Column) -> Column:
+            return fx.let(F.get(v, i), lambda top: F.struct(
+                i.alias("i"), (top * sign).alias("value"),
+                (top - F.greatest(base(top, F.sequence(i - 1, F.lit(0), F.lit(-1))), base(top, F.sequence(i + 1, n - 1)))).alias("prominence")))
 
-    return fx.let(y, with_prominence)
+        return F.filter(F.transform(inner, measure), lambda p: p["prominence"] >= prominence)
 
+    return fx.let(curve if sign > 0 else F.transform(curve, lambda v: -v), with_prominence)
 
-def acf_scalars(curve: Column, span: float = 0.4, points: int = 129, prominence: float = 0.02) -> dict[str, Column]:
-    """Ten descriptors of an ACF curve on 0..span seconds; missing features stay NULL, never lag 0."""
+
+ACF_SCALARS = (
+    "decay_1e_sec", "first_zero_sec", "first_min_lag_sec", "first_min_value", "repeat_peak_lag_sec",
+    "repeat_peak_prominence", "first_positive_area", "negative_fraction", "tail_abs_mean", "total_variation",
+)
+
+
+def acf_scalars(curve: Column, span: float = 0.4, points: int = 129, prominence: float = 0.02) -> Column:
+    """Struct of ten descriptors of an ACF curve on 0..span seconds; missing features stay NULL, never lag 0."""
     dt = span / (points - 1)
-    zero = _crossing(curve, 0.0, dt)
-    first_min = F.get(_peaks(curve, -1, prominence), F.lit(0))
-    next_peak = F.get(F.filter(_peaks(curve, 1, prominence), lambda p: (p["i"] > first_min["i"]) & (p["value"] > 0)), F.lit(0))
-    trapezoid = lambda a: fx.array_sum(F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), lambda x, y: (x + y) / 2 * dt))
-    kept = F.ceil(zero / dt - 1e-12).cast("int")
-    head = F.slice(curve, 1, F.greatest(kept, F.lit(1)))
-    last = F.get(curve, kept - 1)
-    area_zero = F.when(kept <= 0, F.lit(0.0)).otherwise(trapezoid(head) + last / 2 * (zero - (kept - 1) * dt))
-    area_all = trapezoid(F.transform(curve, lambda v: F.greatest(v, F.lit(0.0))))
-    rest = F.slice(curve, 2, points - 1)
     tail_from = math.ceil(0.3 / dt - 1e-9)
-    tail = F.slice(curve, tail_from + 1, points - tail_from)
-    steps = F.zip_with(F.slice(curve, 1, points - 1), rest, lambda a, b: F.abs(b - a))
-    return {
-        "decay_1e_sec": _crossing(curve, 1 / math.e, dt), "first_zero_sec": zero,
-        "first_min_lag_sec": first_min["i"] * dt, "first_min_value": first_min["value"],
-        "repeat_peak_lag_sec": next_peak["i"] * dt, "repeat_peak_prominence": next_peak["prominence"],
-        "first_positive_area": F.when(zero.isNotNull(), area_zero).otherwise(area_all),
-        "negative_fraction": fx.array_mean(F.transform(rest, lambda v: F.when(v < 0, 1.0).otherwise(0.0))),
-        "tail_abs_mean": fx.array_mean(F.transform(tail, lambda v: F.abs(v))), "total_variation": fx.array_sum(steps)}
+    trapezoid = lambda a: fx.array_sum(F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), lambda x, y: (x + y) / 2 * dt))
+
+    def area(c: Column, zero: Column) -> Column:
+        upto = lambda kept: F.when(kept <= 0, F.lit(0.0)).otherwise(
+            trapezoid(F.slice(c, 1, F.greatest(kept, F.lit(1)))) + F.get(c, kept - 1) / 2 * (zero - (kept - 1) * dt))
+        return F.when(zero.isNull(), trapezoid(F.transform(c, lambda v: F.greatest(v, F.lit(0.0))))).otherwise(
+            fx.let(F.ceil(zero / dt - 1e-12).cast("int"), upto))
+
+    def describe(c: Column) -> Column:
+        rest, tail = F.slice(c, 2, points - 1), F.slice(c, tail_from + 1, points - tail_from)
+
+        def extrema(low: Column) -> Column:
+            later = F.get(F.filter(_peaks(c, 1, prominence), lambda p: (p["i"] > low["i"]) & (p["value"] > 0)), F.lit(0))
+            return fx.let(later, lambda high: fx.let(_crossing(c, 0.0, dt), lambda zero: F.struct(
+                _crossing(c, 1 / math.e, dt).alias("decay_1e_sec"), zero.alias("first_zero_sec"),
+                (low["i"] * dt).alias("first_min_lag_sec"), low["value"].alias("first_min_value"),
+                (high["i"] * dt).alias("repeat_peak_lag_sec"), high["prominence"].alias("repeat_peak_prominence"),
+                area(c, zero).alias("first_positive_area"),
+                fx.array_mean(F.transform(rest, lambda v: F.when(v < 0, 1.0).otherwise(0.0))).alias("negative_fraction"),
+                fx.array_mean(F.transform(tail, lambda v: F.abs(v))).alias("tail_abs_mean"),
+                fx.array_sum(F.zip_with(F.slice(c, 1, points - 1), rest, lambda a, b: F.abs(b - a))).alias("total_variation"))))
+
+        return fx.let(F.get(_peaks(c, -1, prominence), F.lit(0)), extrema)
+
+    return fx.let(curve, describe)
 
 
 def lag_product_map(values: Column, lags: int, time_bins: int = 64, lag_bins: int = 128, percentile: float = 0.995) -> Column:
@@ -349,10 +369,15 @@ def _mirror(i: Column, n: Column) -> Column:
 
 
 def _analysis(values: Column, taps: list[float]) -> Column:
-    n = F.size(values)
-    out = F.floor((n + len(taps) - 1) / 2).cast("int")
-    return F.transform(F.sequence(F.lit(0), out - 1), lambda k: sum(
-        (F.get(values, _mirror(2 * k + 1 - j, n)) * v for j, v in enumerate(taps)), F.lit(0.0)))
+    weights = F.array(*[F.lit(v) for v in taps])
+
+    def filtered(x: Column) -> Column:
+        n = F.size(x)
+        out = F.floor((n + len(taps) - 1) / 2).cast("int")
+        return F.transform(F.sequence(F.lit(0), out - 1), lambda k: fx.array_sum(F.transform(
+            weights, lambda w, j: w * F.get(x, _mirror(2 * k + 1 - j, n)))))
+
+    return fx.let(values, filtered)
 
 
 def wavelet_bands(df: DataFrame, values: str, levels: int = 5) -> DataFrame:
@@ -390,23 +415,23 @@ def scalogram_rows(bands: DataFrame, keys: Sequence[str], n: int, levels: int =
 
 def _synthesis(a: Column, d: Column) -> Column:
     low, high = list(reversed(DB4)), list(reversed(_high_pass()))
-    m = F.size(d)
-    length = 2 * m - len(DB4) + 2
-    half = len(DB4) // 2
-
-    def at(t: Column) -> Column:
-        # taps of matching parity: coefficient k contributes tap t + 6 - 2k
-        first = F.floor((t + len(DB4) - 2) / 2).cast("int")
-        odd = (t + len(DB4) - 2) % 2
-        total = F.lit(0.0)
-        for j in range(half):
-            tap_low = F.when(odd == 0, F.lit(low[2 * j])).otherwise(F.lit(low[2 * j + 1]))
-            tap_high = F.when(odd == 0, F.lit(high[2 * j])).otherwise(F.lit(high[2 * j + 1]))
-            k = first - j
-            total = total + F.coalesce(F.get(a, k) * tap_low + F.get(d, k) * tap_high, F.lit(0.0))
-        return total
-
-    return F.transform(F.sequence(F.lit(0), length - 1), at)
+    taps = len(DB4)
+
+    def rebuild(pair: Column) -> Column:
+        def at(t: Column) -> Column:
+            # taps of matching parity: coefficient k contributes tap t + 6 - 2k
+            first, odd = F.floor((t + taps - 2) / 2).cast("int"), (t + taps - 2) % 2
+            total = F.lit(0.0)
+            for j in range(taps // 2):
+                k = first - j
+                w_low = F.when(odd == 0, F.lit(low[2 * j])).otherwise(F.lit(low[2 * j + 1]))
+                w_high = F.when(odd == 0, F.lit(high[2 * j])).otherwise(F.lit(high[2 * j + 1]))
+                total = total + F.coalesce(F.get(pair["a"], k) * w_low + F.get(pair["d"], k) * w_high, F.lit(0.0))
+            return total
+
+        return F.transform(F.sequence(F.lit(0), 2 * F.size(pair["d"]) - taps + 1), at)
+
+    return fx.let(F.struct(a.alias("a"), d.alias("d")), rebuild)
 
 
 def reconstruct(bands: DataFrame, levels: int = 5) -> DataFrame:

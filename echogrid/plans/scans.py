@@ -75,7 +75,7 @@ def s9(spark, sf):
     n = t.windows(spark, sf).select("vec_id", F.transform("x", lambda v: F.round(v * 100).cast("int")).alias("iq"))
     frames = rec.encode_frames(n, "vec_id", "iq")
     damaged = F.when(F.col("vec_id") % 11 == 1, F.substring("frame", 1, 20)).when(
-        F.col("vec_id") % 7 == 0, F.concat(F.expr("substring(frame, 1, 60)"), F.unhex(F.lit("7F7E")), F.expr("substring(frame, 63)"))).otherwise(F.col("frame"))
+        F.col("vec_id") % 7 == 0, F.concat(F.expr("substring(frame, 1, length(frame) - 1)"), F.unhex(F.lit("FF")))).otherwise(F.col("frame"))
     d = rec.decode_frames(frames.withColumn("frame", damaged))
     return d.select("vec_id", "reject_reason", "seq", rnd(fx.array_sum(F.col("amps")), 3).alias("total"))
 

@@ -155,14 +155,17 @@ ar AS (SELECT cl.vec_id, CASE WHEN max(kz) IS NULL THEN sum((greatest(p, 0) + gr
  avg(CASE WHEN v < 0 THEN 1.0 ELSE 0.0 END) FILTER (k > 0) AS neg, avg(abs(v)) FILTER (k >= 96) AS tail, sum(abs(v - p)) AS tv FROM cl JOIN zz ON zz.vec_id = cl.vec_id GROUP BY cl.vec_id)"""
 
 
+def _acf_scalars(spark, sf, names):
+    s = t.windows(spark, sf).select("vec_id", g.acf_scalars(g.curve_at(_acf(F.col("x")), FS)).alias("s"))
+    return s.select("vec_id", *[rnd(f"s.{n}").alias(n) for n in names])
+
+
 @query("g13_acf_scalars", with_views("samples", _ACF + _CURVE + f"""
 SELECT zz.vec_id, {r6("decay")} AS decay_1e_sec, {r6("zero")} AS first_zero_sec, {r6("area")} AS first_positive_area, {r6("neg")} AS negative_fraction, {r6("tail")} AS tail_abs_mean, {r6("tv")} AS total_variation
 FROM zz JOIN ar ON ar.vec_id = zz.vec_id"""))
 def g13(spark, sf):
-    c = t.windows(spark, sf).select("vec_id", g.curve_at(_acf(F.col("x")), FS).alias("curve"))
-    s = g.acf_scalars(F.col("curve"))
     names = ("decay_1e_sec", "first_zero_sec", "first_positive_area", "negative_fraction", "tail_abs_mean", "total_variation")
-    return c.select("vec_id", *[rnd(s[n]).alias(n) for n in names])
+    return _acf_scalars(spark, sf, names)
 
 
 @query("g13_acf_extrema", with_views("samples", _ACF + _CURVE + f"""
@@ -174,9 +177,7 @@ mn AS (SELECT vec_id, min(k) AS km, arg_min(v, k) AS vm FROM pr WHERE s = -1 AND
 mx AS (SELECT pr.vec_id, min(pr.k) AS kp, arg_min(prom, pr.k) AS pp FROM pr JOIN mn ON mn.vec_id = pr.vec_id WHERE s = 1 AND prom >= 0.02 AND pr.k > km AND v > 0 GROUP BY 1)
 SELECT z0.vec_id, {r6("km * 0.003125::DOUBLE")} AS first_min_lag_sec, {r6("vm")} AS first_min_value, {r6("kp * 0.003125::DOUBLE")} AS repeat_peak_lag_sec, {r6("pp")} AS repeat_peak_prominence FROM z0 LEFT JOIN mn ON mn.vec_id = z0.vec_id LEFT JOIN mx ON mx.vec_id = z0.vec_id"""))
 def g13x(spark, sf):
-    c = t.windows(spark, sf).select("vec_id", g.curve_at(_acf(F.col("x")), FS).alias("curve"))
-    s = g.acf_scalars(F.col("curve"))
-    return c.select("vec_id", *[rnd(s[n]).alias(n) for n in ("first_min_lag_sec", "first_min_value", "repeat_peak_lag_sec", "repeat_peak_prominence")])
+    return _acf_scalars(spark, sf, ("first_min_lag_sec", "first_min_value", "repeat_peak_lag_sec", "repeat_peak_prominence"))
 
 
 @query("g14_channel_acf_products", with_views("samples", _ACF + _CURVE + f" SELECT vec_id // 10 AS recording_id, CAST(k AS INT) AS lag_bin, {r6('avg(v)')} AS recovered FROM cu GROUP BY ALL"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echogrid.functions import scalars as fx
 from echogrid.operators import ordered as o
@@ -142,14 +143,14 @@ def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_signal(values: pd.Series) -> pd.Series:
     import base64
 
     return values.map(lambda v: None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode("ascii"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _floats(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
