@@ -12,6 +12,7 @@ a chunk only needs one number from the past (the release in force), so the work
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,69 +24,98 @@ from echogrid.operators.ordered import CHUNK
 from echogrid.session import materialize
 
 
-def _exits(enter: np.ndarray, release: np.ndarray) -> np.ndarray:
-    """Release in force after the chunk when item i is the first one taken (pointer jumping)."""
+def _complete_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of a sorted partition holding whole groups only, with the group borders; at most one chunk is held back."""
+    tail = None
+    for pdf in frames:
+        if tail is not None:
+            pdf = pd.concat([tail, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        fresh = np.zeros(len(pdf), dtype=bool)
+        fresh[0] = True
+        for k in keys:
+            v = pdf[k].to_numpy()
+            fresh[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(fresh)
+        tail = pdf.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield pdf.iloc[: starts[-1]], starts
+    if tail is not None and len(tail):
+        yield tail.reset_index(drop=True), np.array([0, len(tail)])
+
+
+def _exits(enter: np.ndarray, release: np.ndarray, reach: int) -> list[float]:
+    """Release in force after the chunk when item i < reach is the first one taken."""
     n = len(enter)
-    jump = np.append(np.searchsorted(enter, release, side="left"), n)
-    jump[:n] = np.maximum(jump[:n], np.arange(1, n + 1))
-    last = np.append(np.arange(n), n)
-    last_of = last.copy()
-    while True:
-        ahead = jump[jump]
-        moved = np.where(jump < n, last_of[np.minimum(jump, n)], last_of)
-        if np.array_equal(moved, last_of) and np.array_equal(ahead, jump):
-            break
-        last_of, jump = moved, ahead
-    return release[last_of[:n]]
+    if reach <= 4:
+        times, out = enter.tolist(), []
+        for i in range(reach):
+            k = i
+            while k < n:
+                last, k = k, max(k + 1, bisect_left(times, release[k]))
+            out.append(float(release[last]))
+        return out
+    jump = np.append(np.maximum(np.searchsorted(enter, release, side="left"), np.arange(1, n + 1)), n)
+    last = np.arange(n + 1)
+    while (jump < n).any():  # pointer doubling along the chain of taken items
+        last = np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    return release[last[:reach]].tolist()
 
 
 def greedy_skip(df: DataFrame, keys: Sequence[str], order: Sequence[str], enter: str, release: str, chunk: Column) -> DataFrame:
     """Adds `taken`. `enter` and `release` are doubles, `enter` never falls along `order`; a NULL release blocks the rest."""
     rows = materialize(df.withColumn(CHUNK, chunk))
-    big = F.lit(float("inf"))
-    slim = rows.select(*keys, CHUNK, *order, F.col(enter).cast("double").alias("__in"), F.coalesce(F.col(release).cast("double"), big).alias("__out"))
-    w = Window.partitionBy(*keys).orderBy(CHUNK)
-    tops = slim.groupBy(*keys, CHUNK).agg(F.max("__out").alias("__top")).withColumn("__limit", F.max("__top").over(w.rowsBetween(Window.unboundedPreceding, -1))).drop("__top")
-    fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    key_schema = ", ".join(f"`{k}` {fields[k]}" for k in [*keys, CHUNK])
-    by = list(order)
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by)
-        enter_v, out = pdf["__in"].to_numpy(), _exits(pdf["__in"].to_numpy(), pdf["__out"].to_numpy())
-        limit = pdf["__limit"].iloc[0]
-        reach = 1 if pd.isna(limit) else int(np.searchsorted(enter_v, limit, side="left")) + 1
-        reach = min(reach, len(enter_v))
-        head = pdf[[*keys, CHUNK]].iloc[[0]].reset_index(drop=True)
-        return head.assign(at=[enter_v[:reach].tolist()], leaves=[out[:reach].tolist()], whole=[reach == len(enter_v)])
-
-    table = slim.join(tops, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(steps, f"{key_schema}, at array<double>, leaves array<double>, whole boolean")
-    chained = table.repartition(*keys).sortWithinPartitions(*keys, CHUNK)
+    keys, by = list(keys), list(order)
+    group = [*keys, CHUNK]
+    slim = rows.select(*group, *by, F.col(enter).cast("double").alias("__in"), F.coalesce(F.col(release).cast("double"), F.lit(float("inf"))).alias("__out"))
+    w = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    limits = slim.groupBy(*group).agg(F.max("__out").alias("__top")).withColumn("__limit", F.max("__top").over(w)).drop("__top")
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = lambda names, more: ", ".join(f"`{n}` {kinds[n]}" for n in names) + f", {more}"
+
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _complete_groups(frames, group):
+            times, frees, bound = pdf["__in"].to_numpy(), pdf["__out"].to_numpy(), pdf["__limit"].to_numpy()
+            at, leaves = [], []
+            for a, b in zip(starts[:-1], starts[1:]):
+                e = times[a:b]
+                reach = 1 if np.isnan(bound[a]) else min(int(np.searchsorted(e, bound[a], side="left")) + 1, b - a)
+                at.append(e[:reach].tolist())
+                leaves.append(_exits(e, frees[a:b], reach))
+            yield pdf.iloc[starts[:-1]][group].assign(at=at, leaves=leaves)
+
+    def sorted_by_group(frame: DataFrame) -> DataFrame:
+        return frame.repartition(*group).sortWithinPartitions(*group, *by)
+
+    table = sorted_by_group(slim.join(limits, group)).mapInPandas(steps, schema(group, "at array<double>, leaves array<double>"))
+    chained = table.repartition(*keys).sortWithinPartitions(*group)
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, force = None, -np.inf
         for pdf in frames:
-            starts = []
+            begin = []
             for key, at, leaves in zip(zip(*[pdf[k] for k in keys]), pdf["at"], pdf["leaves"]):
                 if key != current:
                     current, force = key, -np.inf
-                starts.append(force)
+                begin.append(force)
                 i = int(np.searchsorted(at, force, side="left"))
                 force = leaves[i] if i < len(at) else force
-            yield pdf[[*keys, CHUNK]].assign(__start=starts)
-
-    starts = materialize(chained.mapInPandas(chain, f"{key_schema}, __start double"))
-    row_schema = ", ".join(f"`{k}` {fields[k]}" for k in [*keys, CHUNK, *order])
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by)
-        enter_v, out = pdf["__in"].to_numpy(), pdf["__out"].to_numpy()
-        taken = np.zeros(len(pdf), dtype=bool)
-        i = int(np.searchsorted(enter_v, pdf["__start"].iloc[0], side="left"))
-        while i < len(pdf):
-            taken[i] = True
-            i = max(i + 1, int(np.searchsorted(enter_v, out[i], side="left")))
-        return pdf[[*keys, CHUNK, *by]].assign(taken=taken)
-
-    marked = slim.join(starts, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(mark, f"{row_schema}, taken boolean")
-    return rows.join(marked, [*keys, CHUNK, *order]).drop(CHUNK)
+            yield pdf[group].assign(__start=begin)
+
+    begins = materialize(chained.mapInPandas(chain, schema(group, "__start double")))
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _complete_groups(frames, group):
+            times, frees, begin = pdf["__in"].tolist(), pdf["__out"].tolist(), pdf["__start"].to_numpy()
+            taken = np.zeros(len(pdf), dtype=bool)
+            for a, b in zip(starts[:-1], starts[1:]):
+                i = bisect_left(times, begin[a], a, b)
+                while i < b:
+                    taken[i] = True
+                    i = max(i + 1, bisect_left(times, frees[i], a, b))
+            yield pdf[[*group, *by]].assign(taken=taken)
+
+    marked = sorted_by_group(slim.join(begins, group)).mapInPandas(mark, schema([*group, *by], "taken boolean"))
+    return rows.join(marked, [*group, *by]).drop(CHUNK)

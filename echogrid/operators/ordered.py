@@ -153,20 +153,22 @@ def runs(
     return ids.groupBy(*keys, "run", "value").agg(*aggs)
 
 
-def ecdf(df: DataFrame, groups: Sequence[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
+def ecdf(df: DataFrame, groups: Sequence[str], value: str, extra: dict[str, Column] | None = None, with_next: bool = False) -> DataFrame:
     """Distinct finite values of each group in order with `n` rows, `below` rows before them and `total` rows.
 
-    `extra` adds further counts (e.g. positives) with the suffix `_below` / `_total`.  Rows collapse to distinct
+    `extra` adds further counts (e.g. positives) with the suffix `_below` / `_total`; `with_next` adds the next value.  Rows collapse to distinct
     values before any shuffle, and the order is a range sort, so neither a hot group nor a hot value piles up.
     """
     counts = {"n": F.lit(1), **(extra or {})}
     if not groups:
-        return ecdf(df.withColumn("__all", F.lit(0)), ["__all"], value, extra).drop("__all")
+        return ecdf(df.withColumn("__all", F.lit(0)), ["__all"], value, extra, with_next).drop("__all")
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     distinct = clean.groupBy(*groups, value).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in counts.items()])
     chunks = sorted_chunks(distinct, groups, [value])
     scanned = prefix_scan(chunks, groups, [value], {_below(n): ("sum_before", F.col(n)) for n in counts})
     scanned = scanned.withColumns({_below(n): F.coalesce(F.col(_below(n)), F.lit(0)) for n in counts})
+    if with_next:
+        scanned = prefix_scan(materialize(scanned), groups, [value], {"next": ("prev", value)}, reverse=True)
     totals = chunks.groupBy(*groups).agg(*[F.sum(n).cast("bigint").alias(_total(n)) for n in counts])
     return scanned.drop(CHUNK).join(totals, list(groups))
 
