@@ -48,7 +48,7 @@ def g2(spark, sf):
 , n AS (SELECT device_id, t_us, value, lag(t_us) OVER w AS pt, lag(value) OVER w AS pv, min(t_us) OVER (PARTITION BY device_id) AS t0, max(t_us) OVER (PARTITION BY device_id) AS t1 FROM packets WINDOW w AS (PARTITION BY device_id ORDER BY seq)),
 d AS (SELECT DISTINCT device_id, t0, t1 FROM n), k AS (SELECT device_id, k, t0 + k * 5400000000 AS pos FROM d, range(0, 600) r(k) WHERE t0 + k * 5400000000 <= t1)
 SELECT k.device_id, k.k, {r6("CASE WHEN pt IS NULL THEN value ELSE pv + (value - pv) * ((pos - pt) / (t_us - pt)::DOUBLE) END")} AS value
-FROM k JOIN n ON n.device_id = k.device_id AND ((pt IS NULL AND pos = t_us) OR (pos > pt AND pos <= t_us))"""))
+FROM k ASOF JOIN n ON n.device_id = k.device_id AND k.pos <= n.t_us"""))
 def g3(spark, sf):
     p = t.packets(spark, sf).select("device_id", "seq", "ts", "t_us", "value")
     r = g.resample_uniform(p, ["device_id"], ["ts", "seq"], "t_us", ["value"], 5.4e9, _chunk())
@@ -70,10 +70,9 @@ def g4(spark, sf):
 
 @query("g5_rescale_resample", with_views("packets", f"""
 , n AS (SELECT device_id, t_us, value, lag(t_us) OVER w AS pt, lag(value) OVER w AS pv, min(t_us) OVER (PARTITION BY device_id) AS t0, max(t_us) OVER (PARTITION BY device_id) AS t1 FROM packets WINDOW w AS (PARTITION BY device_id ORDER BY seq)),
-d AS (SELECT DISTINCT device_id, t0, t1 FROM n WHERE t1 > t0), k AS (SELECT device_id, k, t0, t1 FROM d, range(0, 50) r(k)),
-h AS (SELECT k.device_id, k.k, n.*, k.t0 + k.k * (k.t1 - k.t0) / 49.0::DOUBLE AS pos FROM k JOIN n ON n.device_id = k.device_id AND
- ((pt IS NULL AND k.k = 0) OR (pt IS NOT NULL AND k.k * (k.t1 - k.t0) > (pt - k.t0) * 49 AND k.k * (k.t1 - k.t0) <= (t_us - k.t0) * 49)))
-SELECT device_id, k, {r6("CASE WHEN pt IS NULL THEN value ELSE pv + (value - pv) * ((pos - pt) / (t_us - pt)) END")} AS value FROM h"""))
+m AS (SELECT device_id, t_us, value, pt, pv, (t_us - t0) * 49 AS st FROM n WHERE t1 > t0), d AS (SELECT DISTINCT device_id, t0, t1 FROM n WHERE t1 > t0),
+k AS (SELECT device_id, k, k * (t1 - t0) AS sp, t0 + k * (t1 - t0) / 49.0::DOUBLE AS pos FROM d, range(0, 50) r(k))
+SELECT k.device_id, k.k, {r6("CASE WHEN pt IS NULL THEN value ELSE pv + (value - pv) * ((pos - pt) / (t_us - pt)) END")} AS value FROM k ASOF JOIN m ON m.device_id = k.device_id AND k.sp <= m.st"""))
 def g5(spark, sf):
     p = t.packets(spark, sf).select("device_id", "seq", "ts", "t_us", "value")
     return _rounded(g.rescale_resample(p, ["device_id"], ["ts", "seq"], "t_us", ["value"], 50, _chunk()), "value")
