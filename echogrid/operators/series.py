@@ -163,12 +163,18 @@ def centered_mode(df: DataFrame, keys, index: str, flag: str, size: int) -> Data
     return o.own_rows(out.withColumn("mode", vote).drop("__ones", "__n"))
 
 
-def causal_majority(df: DataFrame, keys, index: str, flag: str, size: int = 5, need: int = 3) -> DataFrame:
-    """1 when the last `size` rows exist and at least `need` of them are set."""
-    spread, w = o.with_halo(df, keys, index, size - 1, 0)
-    frame = w.rowsBetween(-(size - 1), 0)
-    out = spread.withColumns({"__ones": F.sum(flag).over(frame), "__n": F.count("*").over(frame)})
-    return o.own_rows(out.withColumn("majority", ((F.col("__n") == size) & (F.col("__ones") >= need)).cast("int")).drop("__ones", "__n"))
+def causal_majority(df: DataFrame, keys, index: str, flag: str, size: int = 5, need: int = 3, previous: bool = False) -> DataFrame:
+    """1 when the last `size` rows exist and at least `need` of them are set; `previous` adds the prior row's vote too."""
+    spread, w = o.with_halo(df, keys, index, size if previous else size - 1, 0)
+
+    def vote(ahead: int) -> Column:
+        frame = w.rowsBetween(-(size - 1) - ahead, -ahead)
+        return ((F.count("*").over(frame) == size) & (F.sum(flag).over(frame) >= need)).cast("int")
+
+    out = spread.withColumn("majority", vote(0))
+    if previous:
+        out = out.withColumn("previous_majority", F.when(F.col(index) > 0, vote(1)))
+    return o.own_rows(out)
 
 
 def weighted_smooth(df: DataFrame, keys, index: str, value: str) -> DataFrame:

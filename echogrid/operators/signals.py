@@ -121,7 +121,9 @@ def fixed_length(values: Column, n: int) -> Column:
 def pack_channels(df: DataFrame, keys: Sequence[str], channel: str, values: str) -> DataFrame:
     """One row per window with `channels` array<array<double>> in channel order (the channel count is a hardware constant)."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(values).alias("x"))))
-    return df.groupBy(*keys).agg(F.transform(rows, lambda r: r["x"]).alias("channels"))
+    # an explicit partition count keeps small-but-costly windows spread out; the aggregate reuses this one shuffle
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).groupBy(*keys).agg(F.transform(rows, lambda r: r["x"]).alias("channels"))
 
 
 def batched(df: DataFrame, column: str, fn: Callable[[np.ndarray], dict[str, list]], schema: str) -> DataFrame:

@@ -64,3 +64,9 @@ def materialize(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name next to the checkpoints, for tables a job writes and reads back."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread an under-split scan over the cores before heavy per-row work; a scan with enough splits is left alone."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

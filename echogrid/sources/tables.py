@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echogrid.session import fan_out
+
 # Scoring threshold and the activities that count as a fall.
 THRESHOLD = 0.468
 FALL_ACTIVITIES = (2, 5)
@@ -30,7 +32,7 @@ def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packed 64-sample window per (recording, channel)."""
-    return table(spark, sf_dir, "embeddings").selectExpr(
+    return fan_out(table(spark, sf_dir, "embeddings")).selectExpr(
         "vec_id", "vec_id div 10 AS recording_id", "cast(vec_id % 10 AS int) AS ch", "label",
         "transform(embedding, v -> cast(v AS double)) AS x",
     )
