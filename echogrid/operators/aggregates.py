@@ -285,11 +285,10 @@ def kind_counters(df: DataFrame, kind: str, reject: str) -> DataFrame:
 
 def device_totals(df: DataFrame, device: str, seen: str, offline_after_s: float) -> DataFrame:
     """Known and online devices, judged against the newest time seen anywhere in the stream."""
-    last = df.groupBy(device).agg(F.max(seen).alias("last")).withColumn("__one", F.lit(1))
-    now = df.agg(F.max(seen).alias("now")).withColumn("__one", F.lit(1))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    online = (micros("now") - micros("last")) / 1e6 < offline_after_s
-    return last.join(F.broadcast(now), "__one").agg(F.count("*").alias("devices"), F.count_if(online).alias("online"))
+    last = df.groupBy(device).agg(F.max(seen).alias("last"))
+    now = df.agg(F.unix_micros(F.max(seen).cast("timestamp")).alias("now")).scalar()
+    silent = last.withColumn("silent", (now - F.unix_micros(F.col("last").cast("timestamp"))) / 1e6)
+    return silent.agg(F.count("*").alias("devices"), F.count_if(F.col("silent") < offline_after_s).alias("online"))
 
 
 def link_rate(df: DataFrame, keys: Sequence[str], time: str, short: float, long: float, unit: float = 1e6) -> DataFrame:

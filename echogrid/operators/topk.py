@@ -13,18 +13,20 @@ from echogrid.operators import ordered as o
 
 def ordered_page(df: DataFrame, ts: str, tie: str, limit: int = 50, offset: int = 0, max_limit: int = 500) -> DataFrame:
     """Newest first with the total count beside each row: a partial top-k per task, one small final task."""
-    total = df.agg(F.count("*").alias("total")).withColumn("__one", F.lit(1))
     page = df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(min(limit, max_limit) + offset).offset(offset)
-    return page.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").drop("__one")
+    return page.withColumn("total", df.agg(F.count("*").alias("total")).scalar())
 
 
-def bounded_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 32) -> DataFrame:
-    """First n rows per key: each salt keeps its own n first, so a hot key is cut down before it meets in one task."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    first = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    cut = df.withColumn("__salt", salt).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= n)
+def bounded_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 256) -> DataFrame:
+    """First n rows per key. Up to the engine's group-limit threshold every map task keeps only its own first n;
+    for larger n each salt is cut first, so a hot key is small before it meets in one task."""
     final = Window.partitionBy(*keys).orderBy(*order)
-    return cut.drop("__salt").withColumn("rn", F.row_number().over(final)).filter(F.col("rn") <= n)
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > threshold:
+        first = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        df = salted.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= n).drop("__salt", "rn")
+    return df.withColumn("rn", F.row_number().over(final)).filter(F.col("rn") <= n)
 
 
 def topk_streams(q: DataFrame, keys: Sequence[str], channel: str, k: int, threshold: bool = True, allowed: Sequence[int] | None = None) -> DataFrame:

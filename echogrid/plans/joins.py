@@ -167,9 +167,9 @@ SELECT d.device_id, d.facility_id, CASE WHEN live_seen IS NULL THEN NULL ELSE da
 def j12(spark, sf):
     p = t.packets(spark, sf)
     latest = p.groupBy("device_id").agg(F.max("ts").alias("live_seen"), F.max_by("event_type", "seq").alias("state"))
-    now = p.agg(F.max("ts").alias("now")).withColumn("__one", F.lit(1))
-    d = t.devices(spark, sf).select("device_id", "facility_id", F.lit("2023-01-01").cast("timestamp_ntz").alias("last_seen"), F.lit(1).alias("__one"))
-    out = j.live_overlay(d.join(F.broadcast(now), "__one"), latest, F.col("now").cast("timestamp"), 43_200)
+    d = t.devices(spark, sf).select("device_id", "facility_id", F.lit("2023-01-01").cast("timestamp_ntz").alias("last_seen"))
+    d = d.withColumn("now", p.agg(F.max("ts").alias("now")).scalar())
+    out = j.live_overlay(d, latest, F.col("now").cast("timestamp"), 43_200)
     return out.select("device_id", "facility_id", "online", "last_seen", "presence")
 
 

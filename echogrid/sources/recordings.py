@@ -197,9 +197,8 @@ def replace_long(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) ->
 
 def retained(df: DataFrame, ts: str, days: int) -> DataFrame:
     """Rows newer than the newest time minus `days`; on a date-partitioned table the filter prunes folders."""
-    newest = df.agg(F.max(ts).alias("__newest")).withColumn("__one", F.lit(1))
-    kept = df.withColumn("__one", F.lit(1)).join(F.broadcast(newest), "__one")
-    return kept.filter(F.col(ts) >= F.col("__newest") - F.make_interval(days=F.lit(days))).drop("__one", "__newest")
+    newest = df.agg(F.max(ts).alias("newest")).scalar()
+    return df.filter(F.col(ts) >= newest - F.make_interval(days=F.lit(days)))
 
 
 def expired_dates(dates: DataFrame, newest: str, days: int) -> DataFrame:
