@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Activity names, response labels, effect-size bins, receiver power offset.
+# Activity names, response labels, message texts, effect-size bins, receiver power offset.
 ACTIVITY_NAMES = {
-    1: "walk", 2: "fall_from_walk", 3: "sit_down", 4: "stand_up", 5: "fall_from_stand", 6: "lie_down",
-    7: "bend", 8: "enter", 9: "leave", 10: "idle",
+    1: "Sit still", 2: "Falling down (from sit)", 3: "Lie down", 4: "Stand still", 5: "Falling down (from stand)",
+    6: "Walk to receiver", 7: "Turning", 8: "Walk to transmitter", 9: "Turning", 10: "Standing up", 11: "Sitting down",
+    12: "Pick pen from ground",
 }
-RESPONSE_LABELS = {"PENDING": "waiting", "CONFIRMED": "confirmed", "FALSE_ALARM": "false alarm"}
+RESPONSE_LABELS = {"PENDING": "대기중", "ACKNOWLEDGED": "확인함", "DISPATCHED": "출동중", "FALSE_ALARM": "오탐지"}
+FALL_TITLE = "낙상 감지"
+FALL_MESSAGE = "낙상이 감지되었습니다.\n시각: %s\n확률: %s (누적 %d회)"
+FALL_LOG = "%s (%s) 낙상 감지 · 신뢰도 %.3f"
 CLIFF_BINS = ((0.147, "negligible"), (0.33, "small"), (0.474, "medium"))
 RSSI_OFFSET_DB = 44.0
 
@@ -117,10 +121,7 @@ def device_mapping(device: Column, devices: Column) -> Column:
 
 def notification_text(at: Column, proba: Column, count: Column) -> Column:
     share = F.when(proba.isNull(), F.lit("N/A")).otherwise(F.concat(F.format_string("%.1f", F.round(proba * 100, 1)), F.lit("%")))
-    return F.concat(
-        F.lit("Fall detected. Time: "), F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" Probability: "), share,
-        F.lit(" (total "), count.cast("string"), F.lit(")"),
-    )
+    return F.format_string(FALL_MESSAGE, F.date_format(at, "yyyy-MM-dd HH:mm:ss"), share, count)
 
 
 def stable_order(seed: int | str, *ids: Column) -> Column:

@@ -295,7 +295,7 @@ def m13(spark, sf):
 @query("m14_notification_fanout", with_views("inference devices resident_devices residents recipients", VOTE_SQL + PRIMARY_SQL + f"""
 , fl AS (SELECT w.device_id, w.seq, w.ts, w.proba_fall, d.facility_id, pr.resident_id FROM walk w JOIN devices d ON d.device_id = w.device_id LEFT JOIN pr ON pr.device_id = w.device_id WHERE fresh),
 fc AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN resident_id IS NULL THEN 'd' || device_id ELSE 'r' || resident_id END ORDER BY ts, seq) AS fall_count FROM fl)
-SELECT fc.device_id, fc.seq, r.recipient_id, fc.resident_id, fall_count, 'Fall detected. Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' Probability: ' || printf('%.1f', round(proba_fall * 100, 1)) || '% (total ' || fall_count || ')' AS message
+SELECT fc.device_id, fc.seq, r.recipient_id, fc.resident_id, fall_count, '낙상이 감지되었습니다.' || chr(10) || '시각: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || '확률: ' || printf('%.1f', round(proba_fall * 100, 1)) || '% (누적 ' || fall_count || '회)' AS message
 FROM fc JOIN recipients r ON r.facility_id = fc.facility_id AND (r.resident_id IS NULL OR r.resident_id = fc.resident_id) WHERE r.enabled AND r.push AND r.topic IS NOT NULL""", recursive=True))
 def m14(spark, sf):
     """Which devices had a confirmed fall, when, and who must be told?"""

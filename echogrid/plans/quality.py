@@ -28,12 +28,12 @@ def f2(spark, sf):
 
 
 @query("f3_falls_query", with_views("fall_events", """
-, f AS (SELECT * FROM fall_events WHERE response = 'CONFIRMED' AND occurred_at >= '1996-01-01' AND occurred_at <= '1998-12-31')
+, f AS (SELECT * FROM fall_events WHERE response = 'ACKNOWLEDGED' AND occurred_at >= '1996-01-01' AND occurred_at <= '1998-12-31')
 SELECT id, device_id, resident_id, occurred_at, (SELECT count(*) FROM f) AS total FROM f ORDER BY occurred_at DESC, id DESC LIMIT 50 OFFSET 20"""))
 def f3(spark, sf):
     from echogrid.operators.topk import ordered_page
 
-    f = q.falls_query(t.fall_events(spark, sf), response="CONFIRMED", from_ts="1996-01-01", to_ts="1998-12-31")
+    f = q.falls_query(t.fall_events(spark, sf), response="ACKNOWLEDGED", from_ts="1996-01-01", to_ts="1998-12-31")
     return ordered_page(f.select("id", "device_id", "resident_id", "occurred_at"), "occurred_at", "id", limit=50, offset=20)
 
 
@@ -107,13 +107,13 @@ def f8(spark, sf):
 
 @query("f9_constraint_audit", with_views("fall_events", """
 , v AS (SELECT id, resident_id, confidence, response, facility_id FROM fall_events)
-SELECT 'response_enum' AS rule, id AS row_id FROM v WHERE NOT (response IN ('PENDING', 'CONFIRMED'))
+SELECT 'response_enum' AS rule, id AS row_id FROM v WHERE NOT (response IN ('PENDING', 'ACKNOWLEDGED'))
 UNION ALL SELECT 'confidence_range', id FROM v WHERE NOT (confidence BETWEEN 0 AND 0.99)
 UNION ALL SELECT 'scope_xor', id FROM v WHERE NOT ((facility_id > 3) <> (resident_id > 90))
 UNION ALL SELECT 'responder_required', id FROM v WHERE NOT (response = 'PENDING' OR resident_id > 2)"""))
 def f9(spark, sf):
     return q.constraint_audit(t.fall_events(spark, sf), "id", {
-        "response_enum": F.col("response").isin("PENDING", "CONFIRMED"),
+        "response_enum": F.col("response").isin("PENDING", "ACKNOWLEDGED"),
         "confidence_range": F.col("confidence").between(0.0, 0.99),
         "scope_xor": (F.col("facility_id") > 3) != (F.col("resident_id") > 90),
         "responder_required": (F.col("response") == "PENDING") | (F.col("resident_id") > 2)})

@@ -85,13 +85,15 @@ def x6(spark, sf):
 _ACTIVITY_CASE = "CASE activity " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in fx.ACTIVITY_NAMES.items()) + " END"
 
 
-@query("x7_enum_labels", with_views("file_index", f"""
-SELECT recording_id, {_ACTIVITY_CASE} AS activity_name,
+@query("x7_enum_labels", with_views("file_index fall_events", f"""
+SELECT recording_id, {_ACTIVITY_CASE} AS activity_name, (SELECT CASE response WHEN 'PENDING' THEN '대기중' WHEN 'ACKNOWLEDGED' THEN '확인함' ELSE '오탐지' END FROM fall_events WHERE id = recording_id) AS response_label,
   CASE WHEN abs(trial / 40.0 - 0.2) < 0.147 THEN 'negligible' WHEN abs(trial / 40.0 - 0.2) < 0.33 THEN 'small'
        WHEN abs(trial / 40.0 - 0.2) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM file_index"""))
 def x7(spark, sf):
-    return t.file_index(spark, sf).select("recording_id", fx.label_of(fx.ACTIVITY_NAMES, F.col("activity")).alias("activity_name"),
+    labels = t.fall_events(spark, sf).select(F.col("id").alias("recording_id"), fx.label_of(fx.RESPONSE_LABELS, F.col("response")).alias("response_label"))
+    rows = t.file_index(spark, sf).select("recording_id", fx.label_of(fx.ACTIVITY_NAMES, F.col("activity")).alias("activity_name"),
                                           fx.cliff_magnitude(F.col("trial") / 40.0 - 0.2).alias("magnitude"))
+    return rows.join(labels, "recording_id", "left")
 
 
 @query("x8_normalize_text", """
@@ -153,8 +155,8 @@ def x13(spark, sf):
 
 
 @query("x14_message_text", with_views("fall_events", """
-SELECT id, 'Fall detected. Time: ' || strftime(occurred_at, '%Y-%m-%d %H:%M:%S') || ' Probability: ' ||
-  CASE WHEN id % 9 = 0 THEN 'N/A' ELSE printf('%.1f', round(confidence * 100, 1)) || '%' END || ' (total ' || (id % 5) || ')' AS message FROM fall_events"""))
+SELECT id, '낙상이 감지되었습니다.' || chr(10) || '시각: ' || strftime(occurred_at, '%Y-%m-%d %H:%M:%S') || chr(10) || '확률: ' ||
+  CASE WHEN id % 9 = 0 THEN 'N/A' ELSE printf('%.1f', round(confidence * 100, 1)) || '%' END || ' (누적 ' || (id % 5) || '회)' AS message FROM fall_events"""))
 def x14(spark, sf):
     return t.fall_events(spark, sf).select("id", fx.notification_text(
         F.col("occurred_at"), F.when(F.col("id") % 9 != 0, F.col("confidence")), F.col("id") % 5).alias("message"))

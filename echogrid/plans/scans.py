@@ -37,7 +37,7 @@ def s2(spark, sf):
 , f AS (SELECT vec_id, recording_id % 12 + 1 AS take, recording_id, CASE WHEN vec_id % 17 = 0 THEN false ELSE true END AS ok, CASE WHEN vec_id % 10 < 4 THEN 'a' || (10 + recording_id % 3) ELSE 'none' END AS label FROM windows),
 s AS (SELECT recording_id, max(take) AS take, count(*) AS packets, count(*) FILTER (NOT ok) AS rejected, (max(vec_id) - min(vec_id)) * 0.02::DOUBLE AS span, max(label) FILTER (label <> 'none') AS file_label, count(*) FILTER (label <> 'none') AS n_label_rows FROM f GROUP BY 1)
 SELECT 'P' || recording_id || 'S1C1F2-1Q' || take || '_labeled.csv' AS file, take, packets, rejected, n_label_rows, file_label, {r6("(packets - 1) / span")} AS fs_hz_eff,
-  COALESCE(file_label <> (CASE take WHEN 1 THEN 'a10' WHEN 2 THEN 'a11' WHEN 3 THEN 'a12' WHEN 4 THEN 'a10' WHEN 5 THEN 'a11' WHEN 6 THEN 'a12' END), false) AS label_mismatch FROM s"""))
+  COALESCE(file_label <> (CASE take WHEN 1 THEN 'a10' WHEN 2 THEN 'a10' WHEN 3 THEN 'a11' WHEN 4 THEN 'a11' WHEN 5 THEN 'a12' WHEN 6 THEN 'a12' END), false) AS label_mismatch FROM s"""))
 def s3(spark, sf):
     csi = F.to_json(F.transform(F.sequence(F.lit(0), F.when(F.col("vec_id") % 17 == 0, 488).otherwise(489)), lambda k: F.round(F.get("x", k % 64) * 100).cast("int")))
     rows = t.windows(spark, sf).select(

@@ -144,7 +144,7 @@ def _design(spark, sf):
     w = t.windows(spark, sf).selectExpr("vec_id AS row_id", "recording_id", "x", "slice(x, 1, 32) AS left", "slice(x, 33, 32) AS right", "cast(label IN (1, 4) AS int) AS y", "vec_id % 3 AS env", "cast(vec_id % 30 AS int) AS subject", "label + 1 AS activity")
     for src, out in (("x", "features"), ("left", "block_a"), ("right", "block_b")):
         w = e.as_vector(w, src, out)
-    return w.drop("x", "left", "right")
+    return materialize(w.drop("x", "left", "right"))  # read once per model iteration
 
 
 @query("q12_group_probe")

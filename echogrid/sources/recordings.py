@@ -16,7 +16,7 @@ from echogrid.operators import ordered as o
 # Recording name patterns, cell layout, frame layout.
 LAB_NAME = r"E(\d+)_S(\d+)_C(\d+)_A(\d+)_T(\d+)"
 INHOUSE_NAME = r"^P(\d+)S(\d+)C(\d+)(?:F(\d+)-(\d+))?Q(\d+)_(labeled|csi)$"
-TAKE_LABELS = {1: "a10", 2: "a11", 3: "a12", 4: "a10", 5: "a11", 6: "a12"}
+TAKE_LABELS = {1: "a10", 2: "a10", 3: "a11", 4: "a11", 5: "a12", 6: "a12"}
 FRAME_HEADER = "<HHBBI6sbBBBBBBBBBBbBBBBHHIbBHBB"
 FRAME_MAGIC, FRAME_VERSION, FRAME_TYPE, HEADER_BYTES, MAX_PAYLOAD = 0xA55A, 1, 1, 46, 612
 

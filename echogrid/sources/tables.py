@@ -91,7 +91,7 @@ def fall_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id", "o_custkey AS device_id", "o_custkey % 100 AS resident_id", "o_custkey % 25 AS facility_id",
         "o_orderdate AS occurred_at",
-        "case o_orderstatus when 'P' then 'PENDING' when 'F' then 'CONFIRMED' else 'FALSE_ALARM' end AS response",
+        "case o_orderstatus when 'P' then 'PENDING' when 'F' then 'ACKNOWLEDGED' else 'FALSE_ALARM' end AS response",
         "least(o_totalprice / 500000.0D, 1.0D) AS confidence",
     )
 
@@ -125,7 +125,7 @@ SQL_VIEWS = {
         p_name AS recipient_name FROM part""",
     "fall_events": """SELECT o_orderkey AS id, o_custkey AS device_id, o_custkey % 100 AS resident_id, o_custkey % 25 AS facility_id,
         o_orderdate AS occurred_at,
-        CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'F' THEN 'CONFIRMED' ELSE 'FALSE_ALARM' END AS response,
+        CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'F' THEN 'ACKNOWLEDGED' ELSE 'FALSE_ALARM' END AS response,
         least(o_totalprice / 500000.0::DOUBLE, 1.0::DOUBLE) AS confidence FROM orders""",
     "event_logs": """SELECT doc_id AS id, text AS msg, upper(lang) AS level, source AS facility_id, doc_id % 100 AS resident_id,
         n_chars FROM documents""",
