@@ -71,3 +71,12 @@ def test_replayed_batch_stores_each_fall_once(spark, results):
     assert len(rows) == 9
     reasons = {r.device_id: r.reject_reason for r in rows}
     assert reasons == {1: None, 2: "tenant_mismatch", 3: "unknown_device"}
+
+
+def test_log_rows_for_accepted_falls_only(spark):
+    from echogrid.streaming import sinks
+
+    rows = [("k1", "Kim", "101", 0.81234, 5, 1, 7, None), ("k2", "Lee", "102", 0.9, 6, 2, 7, "tenant_mismatch")]
+    df = spark.createDataFrame(rows, "event_key string, resident_name string, room string, proba_fall double, resident_id int, device_id int, facility_id int, reject_reason string")
+    out = sinks.log_rows(df).collect()
+    assert [(r.event_key, r.level, r.msg) for r in out] == [("k1", "FALL", "Kim (101) 낙상 감지 · 신뢰도 0.812")]
