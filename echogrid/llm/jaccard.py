@@ -32,7 +32,9 @@ TIERS = ((1, 1), (32, 2), (1024, 3))
 FREQUENT_LIMIT = 1 << 20
 SLOTS = 1 << 24
 BAND_BASE = 4  # the lowest frequency band kept: 2**4 documents
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: 64-bit words of a set's parity sketch; sets of at least LONG_SET shingles carry a wide one as well.
+SKETCH, WIDE_SKETCH, LONG_SET = 16, 512, 2048
 COUNT_BITS = np.uint64(16)  # counting uses the upper 48 bits of a hash
 
 
@@ -188,6 +190,13 @@ def signatures(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, level: n
     return np.concatenate(texts), np.concatenate(sigs), rare
 
 
+def _parity(owner: np.ndarray, value: np.ndarray, n: int, words_: int) -> np.ndarray:
+    """Bit maps of `64 * words_` bits per text; a shingle flips one bit, so two maps differ in at most as many bits as the sets in shingles."""
+    bit = (mix(value + np.uint64(9)) >> np.uint64(20)) % np.uint64(64 * words_)
+    odd = np.bincount(owner * (64 * words_) + bit.astype(np.int64), minlength=n * 64 * words_) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, 64 * words_), axis=1).view(np.int64).reshape(-1)
+
+
 def _sign(k: int, percent: int, table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands = table.value
     for piece in pieces(batches, "text"):
@@ -206,9 +215,15 @@ def _sign(k: int, percent: int, table, batches: Iterator[pa.RecordBatch]) -> Ite
         own, sig = np.concatenate([own, own2]), np.concatenate([sig, sig2])
         order = np.lexsort((sig, own))
         own, sig = own[order], sig[order]
+        long = np.flatnonzero(sizes >= LONG_SET)
+        renamed = np.full(n, -1)
+        renamed[long] = np.arange(len(long))
+        far = renamed[owner] >= 0
+        wide = _parity(renamed[owner[far]], value[far], len(long), WIDE_SKETCH)
         yield pa.RecordBatch.from_arrays(
-            [piece.column("doc_id"), pa.array(sizes), pa.array(digest, pa.binary()), pa.array(rare.astype(np.int64)), long_list(sig, np.bincount(own, minlength=n))],
-            ["doc_id", "n_shingles", "digest", "n_rare", "sigs"])
+            [piece.column("doc_id"), pa.array(sizes), pa.array(digest, pa.binary()), pa.array(rare.astype(np.int64)), long_list(_parity(owner, value, n, SKETCH), np.full(n, SKETCH)),
+             long_list(wide, np.where(sizes >= LONG_SET, WIDE_SKETCH, 0)), long_list(sig, np.bincount(own, minlength=n))],
+            ["doc_id", "n_shingles", "digest", "n_rare", "sketch", "wide", "sigs"])
 
 
 def _signed(owner, value, sizes, chosen, level, bands, percent):
@@ -224,8 +239,25 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), long_list(value, np.bincount(owner, minlength=piece.num_rows))], ["node", "grams"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose sets meet the threshold."""
+def _apart(x: str, y: str):
+    """Bits in which two parity sketches differ."""
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose parity sketches leave the threshold possible; none that meets it is lost."""
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"), F.col("wide").alias("p"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"), F.col("wide").alias("q"))
+    both_wide = (F.size("p") > 0) & (F.size("q") > 0)
+    most = (100 - percent) * (F.col("n") + F.col("m"))
+    return pairs.join(left, "a").join(right, "b").where(
+        ((100 + percent) * _apart("x", "y") <= most) & (~both_wide | ((100 + percent) * _apart("p", "q") <= most))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those (a, b) whose shingle sets, read from the texts again, meet the threshold."""
+    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(docs.join(nodes, "doc_id", "left_semi").mapInArrow(partial(_sets, k), "node long, grams array<long>"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -240,6 +272,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int
     their smallest doc_id, before anything is joined. In each round every combination bucket pairs its members with one leader,
     and members already in the leader's component are left out; what remains between different components of a bucket is then
     compared in full, so no link that changes a component is lost and a group of n near copies costs about n comparisons.
+    Candidates pass a parity sketch first, which bounds the symmetric difference from below; the rest is verified on whole sets.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that share a doc_id are one node with several
     texts. Rows with a null doc_id cannot name a component: they keep their n_shingles, get a null component_id and link nothing.
@@ -248,16 +281,15 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spark.sparkContext.broadcast(frequency_bands(docs, k))
-    base = stored(docs.mapInArrow(partial(_sign, k, percent, table), "doc_id long, n_shingles long, digest binary, n_rare long, sigs array<long>"), "signed")
+    base = stored(docs.mapInArrow(partial(_sign, k, percent, table), "doc_id long, n_shingles long, digest binary, n_rare long, sketch array<long>, wide array<long>, sigs array<long>"), "signed")
     classes = stored(
         base.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("n_rare").alias("n_rare"), F.first("sigs").alias("sigs")),
+            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("n_rare", "sketch", "wide", "sigs")]),
         "classes")
     keyed = classes.select("node", "n", "n_rare", F.explode("sigs").alias("sig"))
     full = keyed.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1").select("sig")
     keyed = stored(keyed.join(full, "sig", "left_semi"), "keyed")
-    nodes = keyed.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(docs.join(nodes, "doc_id", "left_semi").mapInArrow(partial(_sets, k), "node long, grams array<long>"), "sets")
+    sketches = classes.select("node", "n", "sketch", "wide")
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
     several = base.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
@@ -270,11 +302,14 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int
             lead = stored(open_.groupBy("sig").agg(F.min(rank).alias("lead")), "leads")
             met = open_.join(lead, "sig").select("node", "n", "component", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"), F.col("lead.component").alias("other"))
         else:
-            mate = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            met = open_.join(mate, "sig").where("node < b")
+            # the sketches are compared inside the join, so a large bucket emits only what may link
+            open_ = stored(open_.join(sketches.select("node", "sketch"), "node"), "open")
+            mate = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("y"))
+            met = open_.join(mate, "sig").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & near & (
+                (100 + percent) * _apart("sketch", "y") <= (100 - percent) * (F.col("n") + F.col("m"))))
         pairs = met.where((F.col("component") != F.col("other")) & near).select(
             F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = _verified(pairs, sets, percent)
+        found = _verified(stored(_close(pairs, sketches, percent).distinct(), "pairs"), docs, k, percent)
         edges = stored(edges.unionByName(found), "links")
         named = components(edges)
         if round_ == STAR_ROUNDS:
