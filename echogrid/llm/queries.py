@@ -63,3 +63,42 @@ def op7_token_counts(spark, sf_dir):
     from echogrid.llm.tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    """Counts, base test and weak-supervision verdict of all documents; the verdict has no SQL form."""
+    from echogrid.llm.quality_rules import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    """Language of all documents; no SQL form, tested by held-out accuracy."""
+    from echogrid.llm.language import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chat_formatting", sql=r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '([\\<\[])', '\\\1', 'g') AS body, regexp_replace(role, '([\\<\[])', '\\\1', 'g') AS mark FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(body) + CASE role WHEN 'assistant' THEN 5 WHEN 'user' THEN 15 ELSE 16 + length(mark) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op8_chat_formatting(spark, sf_dir):
+    """All conversations and one whose texts imitate the template, formatted and read back."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from echogrid.llm.chat import chat_report
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
+    return chat_report(turns, public_tokenizers.path("byte_bpe_50k.json"))
