@@ -102,3 +102,30 @@ def op8_chat_formatting(spark, sf_dir):
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
     return chat_report(turns, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_pii")
+def op9_pii(spark, sf_dir):
+    """Personal data in all documents; the added spans have no SQL form, the base is tested by brute force."""
+    from echogrid.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark, sf_dir):
+    """Main text of all pages; no SQL form, tested on pages of known articles."""
+    from echogrid.llm.extract import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark, sf_dir):
+    """Co-trained quality of all documents; no SQL form, tested by held-out accuracy."""
+    from pyspark.sql import functions as F
+
+    from echogrid.llm.cotraining import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        F.col("row.doc_id").alias("doc_id"), F.round("content_odds", 4).alias("content_odds"), F.round("page_odds", 4).alias("page_odds"), F.round("score", 6).alias("score"), "kept")
