@@ -59,7 +59,7 @@ SPACE_MARK = "▁"
 #: Runs of spaces with the word behind them, or a line feed: no piece of the vocabulary reaches over such a border.
 PRE_TOKEN = re.compile(f"\n|[ {SPACE_MARK}]*[^ {SPACE_MARK}\n]+|[ {SPACE_MARK}]+")
 #: A pre-token is frequent when it is at least one in so many of all pre-tokens, so there are at most so many of them.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 LIMIT = 4096
 
 
@@ -77,7 +77,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
         for text in strings(piece, "text"):
             held.update(_pre_tokens(text))
-        if len(held) > 400_000:
+        if len(held) > 800_000:
             yield flush()
             held.clear()
     yield flush()
@@ -101,28 +101,31 @@ def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _spread(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document one row with the sum over frequent pre-tokens, and one per rare pre-token with its frequency."""
+    """Per document one row with the sum over frequent pre-tokens, and one per rare pre-token with its frequency.
+
+    The document row has its id and size for a token, behind a line feed: no pre-token looks like that, so it meets no join
+    partner, goes to a task of its own hash, and the rows need no further columns.
+    """
     from pyspark import TaskContext
 
     known: dict[str, int] = frequent.value
     row = TaskContext.get().partitionId() << 40
     for piece in pieces(batches, "text"):
-        out = [], [], [], [], []
+        rows, tokens, freqs = [], [], []
         for doc_id, raw in zip(piece.column("doc_id").to_pylist(), strings(piece, "text"), strict=True):
             row += 1
-            total, rare = 0, []
+            total = 0
             for token, n in _pre_tokens(raw).items():
                 if (each := known.get(token)) is None:
-                    rare.append((token, n))
+                    rows.append(row)
+                    tokens.append(token)
+                    freqs.append(n)
                 else:
                     total += n * each
-            # a key of its own keeps the document row out of every join partner's way
-            for values in ((row, doc_id, f"\n{row}", total, len(raw.encode())), *((row, None, t, n, None) for t, n in rare)):
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())],
-            ["row", "doc_id", "token", "freq", "n_bytes"])
+            rows.append(row)
+            tokens.append(f"\n{'' if doc_id is None else doc_id}\n{len(raw.encode())}")
+            freqs.append(total)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tokens, pa.string()), pa.array(freqs, pa.int64())], ["row", "token", "freq"])
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, frequent: int = FREQUENT) -> DataFrame:
@@ -140,9 +143,10 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, frequent: int
     total = counted.agg(F.sum("freq")).first()[0] or 0
     top = F.col("freq") * frequent >= F.lit(total)
     known = spark.sparkContext.broadcast({r["token"]: r["n"] for r in counted.where(top).select("token", "n").collect()})
-    rows = texts.mapInArrow(partial(_spread, known), "row long, doc_id long, token string, freq long, n_bytes long")
-    rare = counted.where(~top).select("token", "n")
-    joined = rows.join(rare, "token", "left")
-    n = F.sum(F.when(F.col("n_bytes").isNotNull(), F.col("freq")).otherwise(F.col("freq") * F.col("n"))).alias("n_tokens")
-    return joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), n).select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = texts.mapInArrow(partial(_spread, known), "row long, token string, freq long")
+    joined = rows.join(counted.where(~top).select("token", "n"), "token", "left")
+    head = F.max(F.when(F.col("token").startswith("\n") & (F.col("token") != "\n"), F.col("token"))).alias("head")
+    summed = joined.groupBy("row").agg(head, F.sum(F.col("freq") * F.coalesce("n", F.lit(1))).alias("n_tokens"))
+    part = lambda k: F.get(F.split("head", "\n"), F.lit(k)).cast("long")
+    return summed.select(
+        F.when(F.get(F.split("head", "\n"), F.lit(1)) != "", part(1)).alias("doc_id"), part(2).alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
