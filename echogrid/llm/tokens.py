@@ -72,7 +72,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "freq"])
+        rows = sorted(held.items())  # neighbours share their beginnings, so the shuffle compresses
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["token", "freq"])
 
     for piece in pieces(batches, "text"):
         for text in strings(piece, "text"):
@@ -110,22 +111,19 @@ def _spread(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     known: dict[str, int] = frequent.value
     row = TaskContext.get().partitionId() << 40
-    for piece in pieces(batches, "text"):
-        rows, tokens, freqs = [], [], []
+    for piece in pieces(batches, "text", 8_000_000):
+        out = []
         for doc_id, raw in zip(piece.column("doc_id").to_pylist(), strings(piece, "text"), strict=True):
             row += 1
             total = 0
             for token, n in _pre_tokens(raw).items():
                 if (each := known.get(token)) is None:
-                    rows.append(row)
-                    tokens.append(token)
-                    freqs.append(n)
+                    out.append((token, row, n))
                 else:
                     total += n * each
-            rows.append(row)
-            tokens.append(f"\n{'' if doc_id is None else doc_id}\n{len(raw.encode())}")
-            freqs.append(total)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tokens, pa.string()), pa.array(freqs, pa.int64())], ["row", "token", "freq"])
+            out.append((f"\n{'' if doc_id is None else doc_id}\n{len(raw.encode())}", row, total))
+        out.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in out], pa.int64()), pa.array([r[0] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], ["row", "token", "freq"])
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, frequent: int = FREQUENT) -> DataFrame:
