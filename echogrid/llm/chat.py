@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,37 +83,49 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.nda
     return mask, np.concatenate(begin) if begin else empty, np.concatenate(end) if end else empty
 
 
-def covered(text: str, begin: np.ndarray, end: np.ndarray) -> str:
-    """Text under the masked tokens; several byte-level tokens of one character count it once."""
-    if not len(begin):
-        return ""
-    reach = np.maximum.accumulate(end)
-    begin = np.maximum(begin, np.concatenate([[0], reach[:-1]]))
-    return "".join(text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True) if a < b)
+COLUMNS = "conv_id long, n_turns long, formatted string, input_ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start: int, end: int>>"
 
 
-COLUMNS = "conv_id long, n_turns long, formatted string, input_ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start: int, end: int>>"
+#: Conversations handled at once in a task.
+GROUP = 32
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            yield batch.slice(at, GROUP)
 
 
-def _format(tokenizer: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), kind))
+
+
+def _format(tokenizer: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     encoder = Tokenizer.from_file(tokenizer)
     encoder.encode_special_tokens = True
-    for batch in batches:
-        rows = []
-        for conv_id, turns in zip(batch["conv_id"], batch["turns"], strict=True):
-            pairs = [(t["role"] or "", t["text"] or "") for t in turns]
-            formatted, spans = render(pairs)
-            encoding = encoder.encode(formatted, add_special_tokens=False)
+    for group in _groups(batches):
+        counts, texts, ids, masks, starts, ends = [], [], [], [], [], []
+        for turns in group.column("turns").to_pylist():
+            pairs = [(t["role"], t["text"]) for t in turns]
+            text, spans = render(pairs)
+            encoding = encoder.encode(text, add_special_tokens=False)
             offsets = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)
-            learned = [s for s, (role, _) in zip(spans, pairs, strict=True) if role == "assistant"]
-            mask, begin, end = loss_mask(offsets, learned)
-            reach = np.concatenate([[0], np.maximum.accumulate(end)[:-1]]) if len(end) else end
-            begin = np.maximum(begin, reach)
-            rows.append((conv_id, len(pairs), formatted, encoding.ids, mask.tolist(), [{"start": int(a), "end": int(b)} for a, b in zip(begin, end, strict=True) if a < b]))
-        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "formatted", "input_ids", "loss_mask", "loss_spans"])
+            mask, begin, end = loss_mask(offsets, [s for s, (role, _) in zip(spans, pairs, strict=True) if role == "assistant"])
+            # several byte-level tokens of one character count it once
+            begin = np.maximum(begin, np.concatenate([[0], np.maximum.accumulate(end)[:-1]])) if len(end) else begin
+            use = begin < end
+            for column, value in zip((counts, texts, ids, masks, starts, ends), (len(pairs), text, np.array(encoding.ids), mask, begin[use], end[use]), strict=True):
+                column.append(value)
+        spans = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32)),
+            pa.StructArray.from_arrays([pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())], ["start", "end"]))
+        yield pa.RecordBatch.from_arrays(
+            [group.column("conv_id"), pa.array(counts, pa.int64()), pa.array(texts, pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_()), spans],
+            ["conv_id", "n_turns", "formatted", "input_ids", "loss_mask", "loss_spans"])
 
 
 def formatted(conversations: DataFrame, tokenizer: str) -> DataFrame:
@@ -125,21 +137,26 @@ def formatted(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return whole.mapInPandas(partial(_format, tokenizer), COLUMNS)
+    return whole.mapInArrow(partial(_format, tokenizer), COLUMNS)
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for conv_id, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches):
+        rows = [], [], [], [], []
+        for text, spans in zip(group.column("formatted").to_pylist(), group.column("loss_spans").to_pylist(), strict=True):
             turns = parse(text)
             turned = hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode("utf-8", "surrogatepass"))
             loss = unescaped("".join(text[s["start"]:s["end"]] for s in spans))
-            rows.append((conv_id, len(turns), turned.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            values = len(turns), turned.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)
+            for column, value in zip(rows, values, strict=True):
+                column.append(value)
+        kinds = pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()
+        yield pa.RecordBatch.from_arrays(
+            [group.column("conv_id"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))],
+            ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def chat_report(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """Digests read back from the formatted text and its mask."""
-    return formatted(conversations, tokenizer).mapInPandas(
+    return formatted(conversations, tokenizer).select("conv_id", "formatted", "loss_spans").mapInArrow(
         _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
