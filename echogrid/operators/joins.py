@@ -39,9 +39,12 @@ def recipient_fanout(falls: DataFrame, recipients: DataFrame, history: DataFrame
     counted = history if history is not None else falls
     by_resident = counted.filter("resident_id IS NOT NULL").groupBy("resident_id").agg(F.count("*").alias("by_resident"))
     by_device = counted.groupBy("device_id").agg(F.count("*").alias("by_device"))
-    numbered = falls.join(by_resident, "resident_id", "left").join(by_device, "device_id", "left").withColumn(
+    # falls without a resident stay out of the join on it: their null key would meet in one task
+    alone = falls.filter("resident_id IS NULL").withColumn("by_resident", F.lit(None).cast("long"))
+    named = falls.filter("resident_id IS NOT NULL").join(by_resident, "resident_id", "left")
+    numbered = named.unionByName(alone).join(by_device, "device_id", "left").withColumn(
         "fall_count", F.coalesce(F.when(F.col("resident_id").isNotNull(), F.col("by_resident")), F.col("by_device"), F.lit(0))).drop("by_resident", "by_device")
-    return o.union_all([numbered.join(shared, "facility_id"), numbered.join(personal, ["facility_id", "resident_id"])])
+    return o.union_all([numbered.join(shared, "facility_id"), numbered.filter("resident_id IS NOT NULL").join(personal, ["facility_id", "resident_id"])])
 
 
 def scope_anti(requested: DataFrame, scoped: DataFrame, key: str) -> DataFrame:

@@ -145,11 +145,12 @@ def gap_comparison(df: DataFrame, metrics: Sequence[str], env: str, envs: Sequen
 # --- rank tests ------------------------------------------------------------------------------------------
 
 def kruskal(df: DataFrame, strata: Sequence[str], group: str, value: str, groups: Sequence) -> DataFrame:
-    """Kruskal-Wallis H with tie correction and clipped epsilon squared; groups under three values are left out."""
+    """Kruskal-Wallis H with tie correction and clipped epsilon squared; groups under three values or not listed are left out."""
     strata = list(strata) or ["__all"]
     if strata == ["__all"]:
         df = df.withColumn("__all", F.lit(0))
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*strata, group, F.col(value).cast("double").alias("v"))
+    known = F.col(group).isin(list(groups)) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = df.filter(known).select(*strata, group, F.col(value).cast("double").alias("v"))
     big = rows.groupBy(*strata, group).agg(F.count("*").alias("k")).filter(F.col("k") >= MIN_N).drop("k")
     counts = {f"g{k}": (F.col(group) == F.lit(g)).cast("int") for k, g in enumerate(groups)}
     t = o.ecdf(rows.join(big, [*strata, group]), strata, "v", counts)

@@ -11,21 +11,22 @@ from echogrid.functions.scalars import stable_order
 from echogrid.operators import ordered as o
 
 
-def ordered_page(df: DataFrame, ts: str, tie: str, limit: int = 50, offset: int = 0, max_limit: int = 500) -> DataFrame:
-    """Newest first with the total count beside each row: a partial top-k per task, one small final task."""
-    page = df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(min(limit, max_limit) + offset).offset(offset)
+def ordered_page(df: DataFrame, ts: str, tie: str, limit: int, offset: int, max_limit: int) -> DataFrame:
+    """Newest first with the total count beside each row: a partial top-k per task, one small final task.
+
+    A limit above `max_limit` is refused, never shortened.
+    """
+    if not 0 <= limit <= max_limit:
+        raise ValueError(f"limit {limit} is outside 0..{max_limit}")
+    page = df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(limit + offset).offset(offset)
     return page.withColumn("total", df.agg(F.count("*").alias("total")).scalar())
 
 
 def bounded_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 256) -> DataFrame:
-    """First n rows per key. Up to the engine's group-limit threshold every map task keeps only its own first n;
-    for larger n each salt is cut first, so a hot key is small before it meets in one task."""
-    final = Window.partitionBy(*keys).orderBy(*order)
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > threshold:
-        first = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        df = salted.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= n).drop("__salt", "rn")
+    """First n rows per key. Each salt of a key is cut first, so a hot key is small before it meets in one task."""
+    first, final = Window.partitionBy(*keys, "__salt").orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    df = salted.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= n).drop("__salt", "rn")
     return df.withColumn("rn", F.row_number().over(final)).filter(F.col("rn") <= n)
 
 

@@ -13,7 +13,7 @@ from echogrid.sources.tables import r6, rnd, with_views
 @query("t1_ordered_page", """
 SELECT o_orderkey, o_orderdate, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200 OFFSET 100""")
 def t1(spark, sf):
-    return k.ordered_page(t.table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderdate", "o_orderkey", 200, 100)
+    return k.ordered_page(t.table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderdate", "o_orderkey", 200, 100, max_limit=500)
 
 
 # q per channel: moving variance over +-3 samples, its maximum over its mean.

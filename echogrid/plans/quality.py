@@ -34,7 +34,7 @@ def f3(spark, sf):
     from echogrid.operators.topk import ordered_page
 
     f = q.falls_query(t.fall_events(spark, sf), response="ACKNOWLEDGED", from_ts="1996-01-01", to_ts="1998-12-31")
-    return ordered_page(f.select("id", "device_id", "resident_id", "occurred_at"), "occurred_at", "id", limit=50, offset=20)
+    return ordered_page(f.select("id", "device_id", "resident_id", "occurred_at"), "occurred_at", "id", limit=50, offset=20, max_limit=200)
 
 
 @query("f4_logs_query", with_views("event_logs", """

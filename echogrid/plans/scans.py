@@ -89,10 +89,10 @@ def s10(spark, sf):
 
 
 @query("s11_input_signature", """
-WITH h AS (SELECT sha256(text) AS h FROM documents), b AS (SELECT h[1:3] AS b, count(*) AS n, bit_xor(CAST('0x' || h[4:15] AS BIGINT)) AS x, sum(CAST('0x' || h[16:23] AS BIGINT))::BIGINT AS s FROM h GROUP BY 1)
-SELECT sha256(string_agg(b || ':' || n || ':' || x || ':' || s, '|' ORDER BY b) || '#' || '{"fs":20}') AS signature, sum(n)::BIGINT AS inputs FROM b""")
+WITH h AS (SELECT sha256(doc_id || ':' || sha256(text)) AS h FROM documents)
+SELECT sha256(count(*) || ':' || """ + " || ':' || ".join(f"sum(CAST('0x' || h[{1 + 8 * k}:{8 + 8 * k}] AS BIGINT))" for k in range(8)) + """ || '#' || '{"fs":20}') AS signature, count(*) AS inputs FROM h""")
 def s11(spark, sf):
-    return rec.input_signature(t.table(spark, sf, "documents").select("text"), "text", '{"fs":20}')
+    return rec.input_signature(t.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", '{"fs":20}')
 
 
 @query("s12_retention", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAY FROM events) GROUP BY 1")

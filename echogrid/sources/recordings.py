@@ -163,17 +163,27 @@ def decode_signal(df: DataFrame, text: str, declared: str) -> DataFrame:
     return raw.withColumn("signal", _floats(F.when(F.col("reject_reason").isNull(), F.col("__raw")))).drop("__raw")
 
 
-def input_signature(df: DataFrame, content: str, config_json: str) -> DataFrame:
-    """One signature over the sha-256 of every content row and the canonical config text, as a two-level hash."""
-    hashed = df.select(F.sha2(F.col(content).cast("binary"), 256).alias("h"))
-    blocks = hashed.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring("h", 4, 12), 16, 10).cast("bigint")).alias("x"), F.sum(F.conv(F.substring("h", 16, 8), 16, 10).cast("bigint")).alias("s"))
-    # 4 096 fixed blocks: the final list is bounded whatever the number of files
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "n", "x", "s"))), lambda r: F.concat_ws(":", r["b"], r["n"].cast("string"), r["x"].cast("string"), r["s"].cast("string"))), "|")
-    return blocks.agg(F.sha2(F.concat(text, F.lit("#"), F.lit(config_json)), 256).alias("signature"), F.sum("n").alias("inputs"))
+def input_signature(df: DataFrame, path: str, content: str, config_json: str) -> DataFrame:
+    """One signature over (path, sha-256 of the content) of every row and the canonical config text.
+
+    Each row's digest enters as eight sums of 32-bit words, so rows in any order add up in parallel and no list is gathered,
+    while swapping the contents of two paths changes the signature.
+    """
+    digest = F.sha2(F.concat_ws(":", F.col(path).cast("string"), F.sha2(F.col(content).cast("binary"), 256)), 256)
+    word = lambda k: F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")
+    sums = df.select(digest.alias("h")).agg(F.count("*").alias("inputs"), *[F.coalesce(F.sum(word(k)), F.lit(0)).alias(f"w{k}") for k in range(8)])
+    parts = [F.col("inputs").cast("string"), *[F.col(f"w{k}").cast("string") for k in range(8)]]
+    return sums.select(F.sha2(F.concat(F.concat_ws(":", *parts), F.lit("#"), F.lit(config_json)), 256).alias("signature"), "inputs")
+
+
+def checked_signature(current: DataFrame, stored: str) -> DataFrame:
+    """`current` unchanged, or an error when its signature differs from the stored one."""
+    refused = F.raise_error(F.concat(F.lit("stored inputs differ: "), F.col("signature"))).cast("string")
+    return current.withColumn("signature", F.when(F.col("signature") == stored, F.col("signature")).otherwise(refused))
 
 
 def file_signature(spark: SparkSession, glob: str, config_json: str) -> DataFrame:
-    return input_signature(spark.read.format("binaryFile").load(glob), "content", config_json)
+    return input_signature(spark.read.format("binaryFile").load(glob), "path", "content", config_json)
 
 
 def manifest(df: DataFrame, keys: Sequence[str], checks: dict[str, Column], stats: dict[str, Column]) -> DataFrame:

@@ -32,8 +32,9 @@ def parse_envelopes(raw: DataFrame, kind: str, text: str = "value") -> DataFrame
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The event table as a file stream with event time usable for watermarks."""
-    stream = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
+    """The event table, one file or a folder of parts, as a file stream with event time usable for watermarks."""
+    # a file stream takes a folder or a pattern, so the one name is written as a pattern
+    stream = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
