@@ -160,16 +160,18 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Fit on candidates of all documents, at most `sample` of each kind by hash order, and calibrate on a third held back.
+    """Fit on candidates of all documents, at most `sample` in all by hash order, and calibrate on a third held back.
+
+    Rows are drawn by a hash of label and features, so the same documents give the same model however they are dealt out.
 
     Labels are weak: a candidate that meets its kind's base rule, or a long word behind a cue such as `token =`, is good, any
     other is not. The cut of a kind is the lowest tenth of the score from which on at least `precision` of the held-back
     candidates are good; a kind without one adds nothing. Without both labels there are no trees and nothing is added.
     """
     spread = docs.select(F.explode(candidates(F.coalesce("text", F.lit(""))))).select("col.*").withColumn(
-        "draw", F.xxhash64("start", "end", *FEATURES, F.lit(3)))
+        "draw", F.xxhash64("kind_no", "good", *FEATURES, F.lit(3)))
     # rows of equal features and label weigh once: a thousand copies of a page teach what one does
-    drawn = spread.dropDuplicates(["kind_no", "good", *FEATURES]).orderBy("draw").limit(sample)
+    drawn = spread.select("kind_no", "good", *FEATURES, "draw").distinct().orderBy("draw", "kind_no", "good", *FEATURES).limit(sample)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         drawn.withColumn("label", F.col("good").cast("double"))).withColumn("held", F.pmod("draw", F.lit(3)) == 0)
     data = materialize(data.select("kind_no", "label", "held", "features", *FEATURES))
