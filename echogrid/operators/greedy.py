@@ -48,14 +48,6 @@ def _complete_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterato
 def _exits(enter: np.ndarray, release: np.ndarray, reach: int) -> list[float]:
     """Release in force after the chunk when item i < reach is the first one taken."""
     n = len(enter)
-    if reach <= 4:
-        times, out = enter.tolist(), []
-        for i in range(reach):
-            k = i
-            while k < n:
-                last, k = k, max(k + 1, bisect_left(times, release[k]))
-            out.append(float(release[last]))
-        return out
     jump = np.append(np.maximum(np.searchsorted(enter, release, side="left"), np.arange(1, n + 1)), n)
     last = np.arange(n + 1)
     while (jump < n).any():  # pointer doubling along the chain of taken items

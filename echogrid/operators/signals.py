@@ -155,18 +155,17 @@ def select_component_signal(df: DataFrame, fs: float, radius: int) -> DataFrame:
     """Windows with `channels` -> 1-D `signal` (SVD components by eigen share and q share)."""
 
     def run(x: np.ndarray) -> dict[str, list]:
-        res = [kernels.select_components(w.T, radius) for w in x]
-        return {"signal": [r["signal"] for r in res], "candidates": [r["candidates"] for r in res],
-                "selected": [";".join(map(str, r["selected"])) for r in res], "energy": [r["energy"] for r in res]}
+        r = kernels.svd_components(x, radius)
+        return {"signal": list(r["signal"]), "candidates": r["candidates"], "selected": [";".join(map(str, np.flatnonzero(c))) for c in r["chosen"]], "energy": r["energy"]}
 
     return batched(df, "channels", run, _schema(df, "channels", "signal array<double>, candidates int, selected string, energy double"))
 
 
 def covariance_component_signal(df: DataFrame, half: int, mode: str = "q") -> DataFrame:
     def run(x: np.ndarray) -> dict[str, list]:
-        res = [kernels.covariance_components(w.T, half, mode) for w in x]
-        return {"signal": [r["pcs"].sum(1) for r in res], "selected": [";".join(map(str, r["selected"])) for r in res],
-                "eigen_sum": [float(r["eigenvalues"].sum()) for r in res], "top_eigenvalue": [float(r["eigenvalues"].max()) for r in res]}
+        r = kernels.covariance_components(x, half, mode)
+        return {"signal": list(r["signal"]), "selected": [";".join(map(str, o)) for o in r["order"]],
+                "eigen_sum": r["eigenvalues"].sum(-1), "top_eigenvalue": r["eigenvalues"].max(-1)}
 
     return batched(df, "channels", run, _schema(df, "channels", "signal array<double>, selected string, eigen_sum double, top_eigenvalue double"))
 
@@ -182,7 +181,7 @@ def channel_acf_maps(df: DataFrame, fs: float, cells: int = 64) -> DataFrame:
     """Windows with `channels` -> flattened 129 x cells `mean_map`, `energy_map` and per-channel `curves`."""
 
     def run(x: np.ndarray) -> dict[str, list]:
-        r = kernels.channel_products(np.swapaxes(x, 1, 2), fs, cells)
+        r = kernels.channel_products(x, fs, cells)
         flat = lambda m: list(m.reshape(len(m), -1))
         return {"mean_map": flat(r["mean"]), "energy_map": flat(r["energy"]), "curves": flat(r["curves"]), "inactive": list((~r["active"]).sum(1))}
 
@@ -300,12 +299,6 @@ def _peaks(curve: Column, sign: int, prominence: float) -> Column:
     return fx.let(curve if sign > 0 else F.transform(curve, lambda v: -v), with_prominence)
 
 
-ACF_SCALARS = (
-    "decay_1e_sec", "first_zero_sec", "first_min_lag_sec", "first_min_value", "repeat_peak_lag_sec",
-    "repeat_peak_prominence", "first_positive_area", "negative_fraction", "tail_abs_mean", "total_variation",
-)
-
-
 def acf_scalars(curve: Column, span: float = 0.4, points: int = 129, prominence: float = 0.02) -> Column:
     """Struct of ten descriptors of an ACF curve on 0..span seconds; missing features stay NULL, never lag 0."""
     dt = span / (points - 1)
@@ -459,8 +452,9 @@ def morlet_maps(df: DataFrame, values: str, fs: float, size: int = 224, low_hz:
     freqs = np.linspace(low_hz, min(high_hz, fs / 2 - 1e-6), size)[::-1]
 
     def run(x: np.ndarray) -> dict[str, list]:
-        maps = [kernels.morlet_scalogram(s, freqs, fs) for s in x]
-        return {"scalogram": [(m / m.max() if m.max() > 0 else m).ravel() for m in maps]}
+        maps = kernels.morlet_scalograms(x, freqs, fs).reshape(len(x), -1)
+        top = maps.max(-1, keepdims=True)
+        return {"scalogram": list(maps / np.where(top > 0, top, 1.0))}
 
     return batched(df, values, run, _schema(df, values, "scalogram array<double>"))
 

@@ -22,14 +22,52 @@ def test_bandpass_leaves_short_input_alone():
 def test_components_rebuild_the_window():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 1)) * np.array([[3.0, 1.0, 0.5]]) + 0.01 * rng.normal(size=(60, 3))
-    r = kernels.select_components(x, 5)
-    assert r["selected"] == [0] and np.isclose(r["energy"], ((x - x.mean(0)) ** 2).sum())
-    assert np.isclose((r["signal"] ** 2).sum(), np.linalg.svd(x - x.mean(0))[1][0] ** 2)
+    r = kernels.svd_components(np.stack([x.T, 2 * x.T]), 5)
+    assert r["chosen"].tolist() == [[True, False, False]] * 2 and np.allclose(r["energy"], [((x - x.mean(0)) ** 2).sum() * k for k in (1, 4)])
+    assert np.allclose((r["signal"] ** 2).sum(-1), [np.linalg.svd(x - x.mean(0))[1][0] ** 2 * k for k in (1, 4)])
+
+
+def test_covariance_choice_follows_its_definition():
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.normal(size=(6, 5, 64)), -1)
+    got, every = kernels.covariance_components(x, 4), kernels.covariance_components(x, 4, "variance95")
+    for b, w in enumerate(x):
+        values, vectors = np.linalg.eigh(np.cov(w))
+        q = {}
+        for k in range(5):
+            if values[4 - k] >= values[4] / 1000:
+                padded = np.pad(np.abs(vectors[:, 4 - k] @ w), 4, mode="edge")
+                v = [padded[t : t + 9].var(ddof=1) for t in range(64)]
+                q[k] = max(v) / np.mean(v)
+        wanted = sorted((k for k in q if q[k] / sum(q.values()) >= 1 / max(len(q) - 1, 1)), key=lambda k: -q[k])[:3]
+        assert list(got["order"][b]) == (wanted or [max(q, key=q.get)])
+        n = 1 + next(k for k in range(5) if values[::-1][: k + 1].sum() >= 0.95 * values.sum())
+        assert list(every["order"][b]) == list(range(n))
+
+
+def test_channel_products_equal_the_sums_they_stand_for():
+    rng = np.random.default_rng(3)
+    x, fs = rng.normal(size=(2, 3, 64)), 20.0
+    x[1, 2] = 5.0
+    got = kernels.channel_products(x, fs, 16)
+    assert got["active"].tolist() == [[True] * 3, [True, True, False]]
+    points = np.linspace(0, 0.4, 129) * fs
+    for b in range(2):
+        c = x[b] - x[b].mean(-1, keepdims=True)
+        e = (c**2).sum(-1)
+        u = np.where(e[:, None] > 1e-12, c / np.sqrt(np.maximum(e, 1e-12))[:, None], 0)
+        lagged = lambda k, lag: np.array([u[k, t] * u[k, t - lag] if t >= lag else 0.0 for t in range(64)])
+        prod = np.array([[lagged(k, lag) for lag in range(9)] for k in range(3)])
+        cells = prod.reshape(3, 9, 16, 4).sum(-1) * 16
+        for name, weight in (("mean", (e > 1e-12) / (e > 1e-12).sum()), ("energy", e / e.sum())):
+            rows = np.einsum("k,klc->lc", weight, cells)
+            assert np.allclose(got[name][b], [[np.interp(p, np.arange(9), rows[:, c]) for c in range(16)] for p in points])
+        assert np.allclose(got["curves"][b], [[np.interp(p, np.arange(9), prod[k].sum(-1)) for k in range(3)] for p in points])
 
 
 def test_scalogram_peaks_at_the_tone():
     fs, freqs = 50.0, np.linspace(1, 20, 20)[::-1]
-    m = kernels.morlet_scalogram(np.sin(2 * np.pi * 8 * np.arange(400) / fs), freqs, fs)
+    m = kernels.morlet_scalograms(np.sin(2 * np.pi * 8 * np.arange(400) / fs)[None], freqs, fs)[0]
     assert m.shape == (20, 400) and abs(freqs[m[:, 200].argmax()] - 8) <= 1
 
 
