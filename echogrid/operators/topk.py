@@ -79,6 +79,17 @@ def even_subsample(df: DataFrame, keys: Sequence[str], order: Sequence[str], m:
     return numbered.join(sizes, list(keys)).filter((F.col("__n") <= m) | taken).drop("__n", o.CHUNK)
 
 
+def leave_one_out(df: DataFrame, group: str, row_id: str, seed: int = 0, share: float = 0.2) -> DataFrame:
+    """One fold for each value of `group`, named `fold`: its rows are `test`, all others `train` or, the first in hash order
+    of each group, `val`. Ranks are made once and shared by the folds; rows are repeated once a fold, which is the result."""
+    numbered = o.number_rows(df.withColumn("__h", stable_order(seed, F.col(row_id))), [group], ["__h", row_id], "rank")
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    folds = df.select(F.col(group).alias("fold")).distinct().agg(F.array_sort(F.collect_set("fold")).alias("folds"))
+    part = F.greatest(F.lit(1), F.bround(F.col("n") * share))
+    each = numbered.join(sizes, group).withColumn("fold", F.explode(folds.select("folds").scalar()))
+    return each.withColumn("split", F.when(F.col(group) == F.col("fold"), "test").when(F.col("rank") < part, "val").otherwise("train")).drop("__h")
+
+
 def split_assign(df: DataFrame, groups: Sequence[str], row_id: str, role: Column, seed: int = 0, share: float = 0.2) -> DataFrame:
     """Hash-ordered ranks to val / test / train; `external` rows keep their own split, too small groups are marked."""
     marked = df.withColumns({"role": role, "__h": stable_order(seed, F.col(row_id))})

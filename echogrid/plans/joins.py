@@ -70,7 +70,7 @@ def j5(spark, sf):
 
 @query("j6_nearest_asof", with_views("packets", """
 , b AS (SELECT device_id, min(t_us) AS t0, max(t_us) AS t1 FROM packets GROUP BY 1),
-g AS (SELECT device_id, t0 + k * 7200000000 AS t_us FROM b, range(0, 400) r(k) WHERE t0 + k * 7200000000 <= t1),
+g AS (SELECT device_id, t0 + k * 7200000000 AS t_us FROM b, (SELECT unnest(range(0, (SELECT CAST(max((t1 - t0) / 7200000000) AS BIGINT) + 2 FROM b))) AS k) r WHERE t0 + k * 7200000000 <= t1),
 l AS (SELECT g.device_id, g.t_us, p.t_us AS lt, p.seq AS ls FROM g ASOF LEFT JOIN packets p ON g.device_id = p.device_id AND g.t_us >= p.t_us),
 r AS (SELECT g.device_id, g.t_us, p.t_us AS rt, p.seq AS rs FROM g ASOF LEFT JOIN packets p ON g.device_id = p.device_id AND g.t_us <= p.t_us)
 SELECT l.device_id, l.t_us, CASE WHEN rt IS NULL OR l.t_us - lt <= rt - l.t_us THEN lt ELSE rt END AS source_time,

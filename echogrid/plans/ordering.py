@@ -61,6 +61,13 @@ def t5(spark, sf):
     return k.balanced_sample(t.file_index(spark, sf), ["env", "is_fall"], "subject", "recording_id", 25, 7).select("env", "is_fall", "recording_id", "subject", "depth", "rn")
 
 
+@query("t5_cell_sample", with_views("file_index", """
+, r AS (SELECT env, is_fall, recording_id, row_number() OVER (PARTITION BY env, is_fall ORDER BY md5('7:' || recording_id), recording_id) AS rn FROM file_index)
+SELECT env, is_fall, recording_id, rn FROM r WHERE rn <= 25"""))
+def t5_cells(spark, sf):
+    return k.stratified_sample(t.file_index(spark, sf), ["env", "is_fall"], "recording_id", 25, 7).select("env", "is_fall", "recording_id", "rn")
+
+
 @query("t6_even_subsample", with_views("packets", """
 , n AS (SELECT device_id, seq, row_number() OVER (PARTITION BY device_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY device_id) AS n FROM packets),
 p AS (SELECT DISTINCT device_id, CAST(round_even(j * (n - 1) / 8.0::DOUBLE, 0) AS BIGINT) AS pos FROM n, range(0, 9) r(j))
@@ -79,6 +86,25 @@ def t7(spark, sf):
     return k.split_assign(t.file_index(spark, sf), ["env"], "recording_id", role, 3).select("recording_id", "role", "rank", "n", "split")
 
 
+@query("t7_label_split", with_views("file_index", """
+, x AS (SELECT recording_id, env, is_fall, CASE env WHEN 1 THEN 'source' WHEN 2 THEN 'target' ELSE 'external' END AS role FROM file_index),
+r AS (SELECT *, row_number() OVER (PARTITION BY env, is_fall, role ORDER BY md5('3:' || recording_id), recording_id) - 1 AS rank, count(*) OVER (PARTITION BY env, is_fall, role) AS n FROM x),
+p AS (SELECT *, greatest(1, CAST(round_even(n * 0.2, 0) AS INT)) AS part FROM r)
+SELECT recording_id, is_fall, role, rank, n, CASE WHEN role = 'external' THEN 'external' WHEN n < CASE role WHEN 'target' THEN 3 ELSE 2 END THEN 'too_few'
+  WHEN rank < part THEN 'val' WHEN role = 'target' AND rank < 2 * part THEN 'test' ELSE 'train' END AS split FROM p"""))
+def t7_labels(spark, sf):
+    role = F.expr("CASE env WHEN 1 THEN 'source' WHEN 2 THEN 'target' ELSE 'external' END")
+    return k.split_assign(t.file_index(spark, sf), ["env", "is_fall"], "recording_id", role, 3).select("recording_id", "is_fall", "role", "rank", "n", "split")
+
+
+@query("t7_leave_env_out", with_views("file_index", """
+, r AS (SELECT recording_id, env, row_number() OVER (PARTITION BY env ORDER BY md5('3:' || recording_id), recording_id) - 1 AS rank, count(*) OVER (PARTITION BY env) AS n FROM file_index),
+f AS (SELECT DISTINCT env AS fold FROM file_index WHERE env IS NOT NULL)
+SELECT fold, recording_id, CASE WHEN env = fold THEN 'test' WHEN rank < greatest(1, round_even(n * 0.2, 0)) THEN 'val' ELSE 'train' END AS split FROM r, f WHERE env IS NOT NULL"""))
+def t7_folds(spark, sf):
+    return k.leave_one_out(t.file_index(spark, sf), "env", "recording_id", 3).select("fold", "recording_id", "split")
+
+
 @query("t8_recent_history", with_views("packets", """
 , r AS (SELECT device_id, seq, ts, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, seq DESC) AS rn FROM packets) SELECT * FROM r WHERE rn <= 20"""))
 def t8(spark, sf):

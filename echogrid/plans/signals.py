@@ -28,7 +28,7 @@ def _rounded(df, *cols, digits=6):
 
 @query("g1_sliding_windows", with_views("packets", f"""
 , n AS (SELECT device_id, value, row_number() OVER (PARTITION BY device_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY device_id) AS len FROM packets),
-s AS (SELECT DISTINCT device_id, CAST(round_even(k * 4.5::DOUBLE, 0) AS BIGINT) AS start FROM n, range(0, 400) r(k) WHERE round_even(k * 4.5::DOUBLE, 0) + 16 <= len)
+s AS (SELECT DISTINCT device_id, CAST(round_even(k * 4.5::DOUBLE, 0) AS BIGINT) AS start FROM n, (SELECT unnest(range(0, (SELECT CAST(max(len / 4.5) AS BIGINT) + 2 FROM n))) AS k) r WHERE round_even(k * 4.5::DOUBLE, 0) + 16 <= len)
 SELECT s.device_id, s.start, count(*) AS rows, {r6("avg(value)")} AS mean FROM s JOIN n ON n.device_id = s.device_id AND n.i >= s.start AND n.i < s.start + 16 GROUP BY ALL"""))
 def g1(spark, sf):
     win = g.assign_windows(_indexed(spark, sf), ["device_id"], "i", 16, 4.5)
@@ -37,7 +37,7 @@ def g1(spark, sf):
 
 @query("g2_time_windows", with_views("packets", f"""
 , e AS (SELECT device_id, min(t_us) AS t0, max(t_us) AS t1 FROM packets GROUP BY 1),
-k AS (SELECT device_id, k, t0 + k * 43200000000 AS start FROM e, range(0, 100) r(k) WHERE t0 + k * 43200000000 + 259200000000 <= t1)
+k AS (SELECT device_id, k, t0 + k * 43200000000 AS start FROM e, (SELECT unnest(range(0, (SELECT CAST(max((t1 - t0) / 43200000000) AS BIGINT) + 2 FROM e))) AS k) r WHERE t0 + k * 43200000000 + 259200000000 <= t1)
 SELECT k.device_id, k.k, k.start, count(*) AS rows, {r6("avg(value)")} AS mean FROM k JOIN packets p ON p.device_id = k.device_id AND p.t_us >= k.start AND p.t_us < k.start + 259200000000 GROUP BY ALL HAVING count(*) >= 5"""))
 def g2(spark, sf):
     p = t.packets(spark, sf).select("device_id", "t_us", "value")
@@ -46,7 +46,7 @@ def g2(spark, sf):
 
 @query("g3_resample_uniform", with_views("packets", f"""
 , n AS (SELECT device_id, t_us, value, lag(t_us) OVER w AS pt, lag(value) OVER w AS pv, min(t_us) OVER (PARTITION BY device_id) AS t0, max(t_us) OVER (PARTITION BY device_id) AS t1 FROM packets WINDOW w AS (PARTITION BY device_id ORDER BY seq)),
-d AS (SELECT DISTINCT device_id, t0, t1 FROM n), k AS (SELECT device_id, k, t0 + k * 5400000000 AS pos FROM d, range(0, 600) r(k) WHERE t0 + k * 5400000000 <= t1)
+d AS (SELECT DISTINCT device_id, t0, t1 FROM n), k AS (SELECT device_id, k, t0 + k * 5400000000 AS pos FROM d, (SELECT unnest(range(0, (SELECT CAST(max((t1 - t0) / 5400000000) AS BIGINT) + 2 FROM d))) AS k) r WHERE t0 + k * 5400000000 <= t1)
 SELECT k.device_id, k.k, {r6("CASE WHEN pt IS NULL THEN value ELSE pv + (value - pv) * ((pos - pt) / (t_us - pt)::DOUBLE) END")} AS value
 FROM k ASOF JOIN n ON n.device_id = k.device_id AND k.pos <= n.t_us"""))
 def g3(spark, sf):

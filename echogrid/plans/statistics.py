@@ -87,6 +87,19 @@ def q6(spark, sf):
     return both.withColumns({"chi2": rnd("chi2", 5), "cramers_v": rnd("cramers_v")})
 
 
+@query("q6_cramers_matrix", f"""
+WITH base AS (SELECT c_custkey AS id, c_mktsegment AS segment, CAST(c_nationkey % 4 AS VARCHAR) AS nation4, CAST(c_custkey % 3 AS VARCHAR) AS third FROM customer),
+pr(a, b) AS (VALUES ('segment', 'nation4'), ('segment', 'third'), ('nation4', 'third')),
+lng AS (SELECT id, 'segment' AS c, segment AS v FROM base UNION ALL SELECT id, 'nation4', nation4 FROM base UNION ALL SELECT id, 'third', third FROM base),
+c AS (SELECT pr.a, pr.b, x.v AS va, y.v AS vb, count(*)::DOUBLE AS o FROM pr JOIN lng x ON x.c = pr.a JOIN lng y ON y.c = pr.b AND y.id = x.id GROUP BY ALL),
+m AS (SELECT *, sum(o) OVER (PARTITION BY a, b, va) AS ra, sum(o) OVER (PARTITION BY a, b, vb) AS cb, sum(o) OVER (PARTITION BY a, b) AS n FROM c),
+v AS (SELECT a, b, sqrt((sum(o * o / (ra * cb)) - 1) / (least(count(DISTINCT va), count(DISTINCT vb)) - 1)) AS v FROM m GROUP BY a, b)
+SELECT a AS col_a, b AS col_b, {r6("v")} AS cramers_v FROM v UNION ALL SELECT b, a, {r6("v")} FROM v UNION ALL SELECT DISTINCT c, c, 1.0::DOUBLE FROM lng""")
+def q6_matrix(spark, sf):
+    c = t.table(spark, sf, "customer").selectExpr("c_mktsegment AS segment", "c_nationkey % 4 AS nation4", "c_custkey % 3 AS third")
+    return s.cramers_v_matrix(c, ["segment", "nation4", "third"]).withColumn("cramers_v", rnd("cramers_v"))
+
+
 @query("q7_js_divergence", f"""
 WITH h AS (SELECT l_returnflag AS g, l_linenumber * 10 + CAST(l_quantity AS INT) % 5 AS c, count(*)::DOUBLE AS n FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 7) GROUP BY ALL),
 p AS (SELECT g, c, n / sum(n) OVER (PARTITION BY g) AS p, sum(n) OVER (PARTITION BY g)::BIGINT AS tot FROM h), cc AS (SELECT DISTINCT c FROM h), pr(a, b) AS (VALUES ('A','N'),('A','R'),('N','R')),

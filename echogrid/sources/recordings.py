@@ -186,10 +186,13 @@ def file_signature(spark: SparkSession, glob: str, config_json: str) -> DataFram
     return input_signature(spark.read.format("binaryFile").load(glob), "path", "content", config_json)
 
 
-def manifest(df: DataFrame, keys: Sequence[str], checks: dict[str, Column], stats: dict[str, Column]) -> DataFrame:
-    """One row per recording with stats, `status` and `error_msg`; a failing recording never stops the others."""
+def manifest(df: DataFrame, keys: Sequence[str], checks: dict[str, Column], stats: dict[str, Column], error_chars: int | None = None) -> DataFrame:
+    """One row per recording with stats, `status` and `error_msg`; a failing recording never stops the others.
+
+    `error_chars` cuts the message where a consumer asks for short ones; by default it is whole.
+    """
     errors = F.concat_ws("; ", *[F.when(F.max(bad.cast("int")) == 1, F.lit(name)) for name, bad in checks.items()])
-    out = df.groupBy(*keys).agg(F.substring(errors, 1, 200).alias("error_msg"), *[e.alias(n) for n, e in stats.items()])
+    out = df.groupBy(*keys).agg((errors if error_chars is None else F.substring(errors, 1, error_chars)).alias("error_msg"), *[e.alias(n) for n, e in stats.items()])
     return out.withColumn("status", F.when(F.col("error_msg") == "", "ok").otherwise("error"))
 
 

@@ -39,8 +39,8 @@ def linear_scorer(weights: list[float], bias: float) -> Callable[[], Callable]:
     return load
 
 
-def probe_each(df: DataFrame, probe: Callable[[dict], dict], schema: str, keys: list[str]) -> DataFrame:
-    """Run `probe` on every packed recording row; a failing row yields status `error` and the message."""
+def probe_each(df: DataFrame, probe: Callable[[dict], dict], schema: str, keys: list[str], error_chars: int | None = None) -> DataFrame:
+    """Run `probe` on every packed recording row; a failing row yields status `error` and the message, cut only on request."""
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(schema).fieldNames()
@@ -53,7 +53,7 @@ def probe_each(df: DataFrame, probe: Callable[[dict], dict], schema: str, keys:
                 try:
                     rows.append({**base, **probe(record), "status": "ok", "error_msg": None})
                 except Exception as exc:  # isolate one bad recording from the batch
-                    rows.append({**base, **dict.fromkeys(names), "status": "error", "error_msg": f"{type(exc).__name__}: {exc}"[:200]})
+                    rows.append({**base, **dict.fromkeys(names), "status": "error", "error_msg": f"{type(exc).__name__}: {exc}"[:error_chars]})
             yield pd.DataFrame(rows, columns=[*keys, *names, "status", "error_msg"])
 
     kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
