@@ -40,9 +40,24 @@ LOOSE = {
 HINTS = {"email": "@|[(\\[]at[)\\]]", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "[0-9]", "secret": "[A-Za-z0-9_]{20}"}
 CUES = "(?i)(?:token|secret|passw(?:or)?d|api[_ -]?key|bearer|card|phone|tel|mobile|fax|call|mail|contact|address|ip|host|server)"
 SECRET_CUES = "(?i)(?:token|secret|passw(?:or)?d|key|bearer)[\\x20\"'=:]{0,6}$"
+#: Words of a kind shortly before a candidate.
+OWN_CUES = {
+    "email": "(?i)(?:mail|contact|write|address)[^\\n]{0,12}$",
+    "ip": "(?i)(?:\\bip|host|server|address)[^\\n0-9]{0,12}$",
+    "card": "(?i)(?:card|visa|amex|credit|debit)[^\\n0-9]{0,12}$",
+    "phone": "(?i)(?:phone|\\btel|mobile|\\bcell|\\bfax|\\bcall|dial|whatsapp)[^\\n0-9]{0,12}$",
+    "secret": SECRET_CUES,
+}
+#: Possessive as above: a long host name is read without recursion.
+ADDRESS = r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$"
+ENDING = r"\.[A-Za-z]{2,}$"
+#: An area code in brackets, no year, and two groups at least.
+AREA = r"^\+?(?:[0-9]{1,3}[\x20.-]{0,2})?\((?!(?:19|20)[0-9]{2}\))[0-9]{2,5}\)[\x20.-]{0,3}[0-9]{2,4}[\x20.-]{1,3}[0-9]{2,5}"
+#: Dotted quads and dates are no telephone numbers.
+NO_PHONE = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|[0-9]{4}([-.])[0-9]{1,2}\1[0-9]{1,2}\b|[0-9]{1,2}([-.])[0-9]{1,2}\2[0-9]{4}\b)"
 CONTEXT = 24
 BLOCK = 64
-FEATURES = ("kind", "n", "digits", "letters", "upper", "seps", "parts", "distinct", "cue", "word_before", "word_after", "sign", "groups")
+FEATURES = ("kind", "n", "digits", "letters", "upper", "seps", "parts", "distinct", "cue", "word_before", "word_after", "sign", "groups", "own_cue", "form", "refuted")
 #: Rows of the fit: at most so many candidates, taken by hash from all documents.
 SAMPLE = 20_000
 PRECISION = 0.95
@@ -75,6 +90,35 @@ def valid(kind: str, s: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
+def plain_address(s: Column) -> Column:
+    """An email candidate with its spelled-out [at] and [dot] written as signs."""
+    return F.regexp_replace(F.regexp_replace(s, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+
+
+def evidence(kind: str, s: Column, before: Column) -> tuple[Column, Column, Column, Column]:
+    """Weak label of a candidate, and what it rests on: a cue of the kind before it, its form, and a form that speaks against it.
+
+    None of it asks whether the base rule of the kind matches: an address counts in its normalised form, a telephone number by
+    its sign, its bracketed area code or a cue before it, a card by its check digit (a short one beside a cue only).
+    """
+    cue, size, no = before.rlike(OWN_CUES[kind]), F.length(_digits(s)), F.lit(False)
+    if kind == "email":
+        plain = plain_address(s)
+        form = plain.rlike(ADDRESS) & plain.rlike(ENDING)
+        return form, cue, form, no
+    if kind == "ip":
+        form = valid("ip", s)
+        return form, cue, form, no
+    if kind == "card":
+        form = luhn(F.substring(_digits(s), 1, 20))
+        return form & (size.between(14, 19) | cue & size.between(12, 19)), cue, form, no
+    if kind == "phone":
+        form, refuted = s.rlike(AREA), s.rlike(NO_PHONE)
+        return ~refuted & (form | (cue & size.between(8, 15)) | (s.startswith("+") & size.between(10, 15))), cue, form, refuted
+    form = s.rlike("[0-9]")
+    return cue & form, cue, form, no
+
+
 def running_sums(lengths: Column) -> Column:
     """Sum of all earlier values, for every value of an array; in blocks, so that long arrays stay cheap."""
     add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
@@ -113,12 +157,12 @@ def candidates(text: Column) -> Column:
             s, before = m["found"], F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
             after = F.substring(text, m["end"] + 1, F.lit(1))
             count = lambda p: F.length(F.regexp_replace(s, p, "")).cast("double")
-            good = (before.rlike(SECRET_CUES) & s.rlike("[0-9]")) if kind == "secret" else (valid(kind, s) & s.rlike(f"^(?:{PATTERNS[kind]})$"))
+            good, cue, form, refuted = evidence(kind, s, before)
             values = {
                 "kind": F.lit(float(n)), "n": F.length(s).cast("double"), "digits": count("[^0-9]"), "letters": count("[^A-Za-z]"), "upper": count("[^A-Z]"), "seps": count("[A-Za-z0-9]"),
                 "parts": count("[^.]"), "distinct": F.size(F.array_distinct(F.split(F.substring(s, 1, 64), ""))).cast("double"), "cue": before.rlike(CUES + "[^\\n]{0,8}$").cast("double"),
                 "word_before": before.rlike("[A-Za-z0-9]$").cast("double"), "word_after": after.rlike("[A-Za-z0-9]").cast("double"), "sign": s.rlike("^\\+").cast("double"),
-                "groups": F.size(F.split(s, "[^0-9]+")).cast("double")}
+                "groups": F.size(F.split(s, "[^0-9]+")).cast("double"), "own_cue": cue.cast("double"), "form": form.cast("double"), "refuted": refuted.cast("double")}
             return F.struct(m["start"].alias("start"), F.lit(n).alias("kind_no"), m["end"].alias("end"), good.alias("good"), *[values[f].alias(f) for f in FEATURES])
         return F.transform(matches(text, LOOSE[kind], HINTS[kind]), one)
 
@@ -164,8 +208,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
 
     Rows are drawn by a hash of label and features, so the same documents give the same model however they are dealt out.
 
-    Labels are weak: a candidate that meets its kind's base rule, or a long word behind a cue such as `token =`, is good, any
-    other is not. The cut of a kind is the lowest tenth of the score from which on at least `precision` of the held-back
+    Labels are weak and rest on `evidence`, not on the base rules, so that loose forms outside the base can be good. The cut of a kind is the lowest tenth of the score from which on at least `precision` of the held-back
     candidates are good; a kind without one adds nothing. Without both labels there are no trees and nothing is added.
     """
     spread = docs.select(F.explode(candidates(F.coalesce("text", F.lit(""))))).select("col.*").withColumn(

@@ -167,6 +167,18 @@ def test_pii_spans_and_redaction(spark):
     assert clean[1].text == "é😀 [EMAIL][EMAIL] [PHONE] x [CARD] y [IP].5 z 256.1.1.1" and clean[2].text is None and clean[1].n_chars == len(clean[1].text)
 
 
+def test_pii_model_adds_obfuscated_addresses_and_national_phones(spark):
+    rows = []
+    for k in range(60):
+        rows += [f"write to name{k} [at] host{k} [dot] org soon", f"mail ann{k}@site{k}.com now", f"meet (at) noon{k} please", f"call (0{17 + k}) 555-{7700 + k} today", f"tel: 0{30 + k} {1234500 + k} x",
+                 f"dial +1 ({200 + k}) 555-{1000 + k} or", f"order {4193803191787600 + 7 * k} then", f"counts {2000 + k} 2001 2002 here", f"on 2024-01-{10 + k % 20} 12 rows", f"at {k}.20.30.40 up"]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(rows)], DOCS)
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert {clean[k] for k in range(0, 600, 10)} == {"write to [EMAIL] soon"} and {clean[k] for k in range(1, 600, 10)} == {"mail [EMAIL] now"}
+    assert all("[PHONE]" not in clean[k] and "[EMAIL]" not in clean[k] for k in clean if k % 10 in (2, 6, 7, 8, 9))
+    assert all(clean[k] == rows[k] for k in clean if k % 10 in (2, 7, 8))
+
+
 def test_cotraining_rejects_bad_words(spark):
     rows = [(k, " ".join(words(40, k) + (["vilest"] if k % 4 == 0 else [])), "en", f"s{k % 3}", None) for k in range(240)]
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(0, 160)], "doc_id long, quality int, toxic int")
