@@ -58,7 +58,7 @@ NO_PHONE = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|[0-9]{4}([-.])[0-9]{1,2}\1[0-9]
 CONTEXT = 24
 BLOCK = 64
 FEATURES = ("kind", "n", "digits", "letters", "upper", "seps", "parts", "distinct", "cue", "word_before", "word_after", "sign", "groups", "own_cue", "form", "refuted")
-#: Rows of the fit: at most so many candidates, taken by hash from all documents.
+#: Rows of the trees' fit: at most so many candidates, an equal part by hash for each kind and label. The cuts see all candidates.
 SAMPLE = 20_000
 PRECISION = 0.95
 #: Cut where the calibration part names none.
@@ -204,26 +204,30 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Fit on candidates of all documents, at most `sample` in all by hash order, and calibrate on a third held back.
+    """Fit on a bounded draw of candidates, at most `sample` in all and as many for each kind and label, and calibrate on all.
 
-    Rows are drawn by a hash of label and features, so the same documents give the same model however they are dealt out.
+    Candidates of equal features are one row with their number. Rows are drawn by a hash of label and features, so the same
+    documents give the same model however they are dealt out.
 
-    Labels are weak and rest on `evidence`, not on the base rules, so that loose forms outside the base can be good. The cut of a kind is the lowest tenth of the score from which on at least `precision` of the held-back
-    candidates are good; a kind without one adds nothing. Without both labels there are no trees and nothing is added.
+    Labels are weak and rest on `evidence`, not on the base rules, so that loose forms outside the base can be good. The cut of
+    a kind is the lowest tenth of the score from which on at least `precision` of the candidates of all documents are good; a
+    kind without one adds nothing. Where all candidates are good, all are added; where none is, nothing.
     """
-    spread = docs.select(F.explode(candidates(F.coalesce("text", F.lit(""))))).select("col.*").withColumn(
-        "draw", F.xxhash64("kind_no", "good", *FEATURES, F.lit(3)))
-    # rows of equal features and label weigh once: a thousand copies of a page teach what one does
-    drawn = spread.select("kind_no", "good", *FEATURES, "draw").distinct().orderBy("draw", "kind_no", "good", *FEATURES).limit(sample)
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-        drawn.withColumn("label", F.col("good").cast("double"))).withColumn("held", F.pmod("draw", F.lit(3)) == 0)
-    data = materialize(data.select("kind_no", "label", "held", "features", *FEATURES))
-    if data.where("not held").select("label").distinct().count() < 2:
+    counted = docs.select(F.explode(candidates(F.coalesce("text", F.lit(""))))).select("col.*").groupBy("kind_no", "good", *FEATURES).agg(F.count("*").alias("n_rows"))
+    counted = materialize(counted.withColumn("draw", F.xxhash64("kind_no", "good", *FEATURES, F.lit(3))))
+    strata = counted.select("kind_no", "good").distinct().orderBy("kind_no", "good").collect()
+    if not any(r["good"] for r in strata):
         return Model([], {})
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=5).fit(data.where("not held"))
+    if all(r["good"] for r in strata):
+        return Model([(1.0, ["Predict: 1.0"])], {r["kind_no"]: 0.5 for r in strata})
+    drawn = reduce(DataFrame.unionByName, [counted.where((F.col("kind_no") == r["kind_no"]) & (F.col("good") == r["good"])).orderBy("draw", *FEATURES).limit(max(sample // (2 * len(KINDS)), 1)) for r in strata])
+    # the weight grows with the logarithm of the number: a thousand copies of a page teach little more than a few
+    data = drawn.withColumn("label", F.col("good").cast("double")).withColumn("weight", F.log2(F.col("n_rows") + 1))
+    data = materialize(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data).select("label", "weight", "features"))
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=5, weightCol="weight").fit(data)
     trees = _trees(model)
     score = Model(trees, {}).score(F.col)
-    bins = data.where("held").groupBy("kind_no", F.floor(score * 10).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    bins = counted.groupBy("kind_no", F.floor(score * 10).alias("bin")).agg(F.sum("n_rows").alias("n"), F.sum(F.when(F.col("good"), F.col("n_rows")).otherwise(0)).alias("good")).collect()
     cuts = {}
     for kind in {r["kind_no"] for r in bins}:
         for low in range(5, 10):

@@ -175,10 +175,21 @@ def test_pii_model_adds_obfuscated_addresses_and_national_phones(spark):
     df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(rows)], DOCS)
     clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
     assert {clean[k] for k in range(0, 600, 10)} == {"write to [EMAIL] soon"} and {clean[k] for k in range(1, 600, 10)} == {"mail [EMAIL] now"}
+    assert {clean[k] for k in range(3, 600, 10)} == {"call [PHONE] today"} and {clean[k] for k in range(4, 600, 10)} == {"tel: [PHONE] x"}
     assert all("[PHONE]" not in clean[k] and "[EMAIL]" not in clean[k] for k in clean if k % 10 in (2, 6, 7, 8, 9))
     assert all(clean[k] == rows[k] for k in clean if k % 10 in (2, 7, 8))
 
 
+def test_pii_cuts_do_not_depend_on_how_common_other_kinds_are(spark):
+    rng = np.random.default_rng(4)
+    few = [f"token = {rng.bytes(16).hex()} x" for _ in range(12)]
+    many = ["".join(rng.choice(list("abcdefghijkl"), 20 + k % 40)) + f" {rng.integers(10 ** 11, 10 ** 12)} and (0{10 + k % 90}) 555-{1000 + k}" for k in range(1500)]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(few + many)], DOCS)
+    model = pii.fit(df, sample=60)
+    assert model.cuts[pii.KINDS.index("secret")] <= 0.9
+    assert {r.text for r in pii.redacted(df.where("doc_id < 12"), model).collect()} == {"token = [SECRET] x"}
+
+
 def test_cotraining_rejects_bad_words(spark):
     rows = [(k, " ".join(words(40, k) + (["vilest"] if k % 4 == 0 else [])), "en", f"s{k % 3}", None) for k in range(240)]
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(0, 160)], "doc_id long, quality int, toxic int")
