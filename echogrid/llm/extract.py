@@ -19,39 +19,50 @@ CLOSES_P = frozenset("address article aside blockquote center details div dl fie
 #: An opening tag ends an open one of these, up to the nearest of the second set.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-SKIPPED = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe svg canvas object embed audio video dialog menu".split())
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+SKIPPED = frozenset("head title script style noscript template nav footer aside button select textarea input iframe svg canvas object embed audio video dialog menu".split())
+SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id that name page furniture.
 FURNITURE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar banner cookie cookies consent gdpr notice alert popup modal overlay ad ads advert adverts "
     "advertisement advertising sponsor sponsored promo promotion comment comments disqus respond reply replies discussion share sharing social related recommended newsletter subscribe "
     "subscription signup login search pagination pager widget toolbar skip".split())
+#: What is named like furniture, or is a form, goes when it holds less than this share of the page's text (an article: of the
+#: largest article's), or when this share of its own text is links. A name of furniture words only (`ad`, not `has-sidebar`)
+#: says more: it asks for more text, and goes in any case beside an article that has no such name.
+SMALL, SMALL_PLAIN, LINKED = 0.25, 0.5, 0.5
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "own", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "own", "density", "total", "named")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.density = self.total = 0.0
+        self.named = 0.0
 
 
 def _furniture(tag: str, attributes: dict[str, str | None], in_article: bool) -> bool:
+    """Is the element furniture by its tag, role or style, whatever it holds?"""
     if tag in SKIPPED or tag == "header" and not in_article or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if attributes.get("role") in SKIPPED_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or ""):
-        return True
-    if tag in ("html", "body", "main") or tag == "article" and not in_article and not (attributes.get("class") or attributes.get("id")):
-        return False
-    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-    return any(w.lower() in FURNITURE for w in NAME_WORD.findall(names))
+    return attributes.get("role") in SKIPPED_ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or ""))
+
+
+def _named(tag: str, attributes: dict[str, str | None]) -> float:
+    """For a form or an element named like furniture, the share of text below which it is furniture; else 0."""
+    if tag in ("html", "body", "main"):
+        return 0.0
+    names = [[w.lower() in FURNITURE for w in NAME_WORD.findall(name)] for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()]
+    if tag != "article" and any(name and all(name) for name in names):
+        return SMALL_PLAIN
+    return SMALL if tag == "form" or attributes.get("role") == "form" or any(any(name) for name in names) else 0.0
 
 
 class _Dom(HTMLParser):
-    """Tree of the elements that are not page furniture; text lies in `children` beside the elements."""
+    """Tree of the elements that are not page furniture by tag, role or style; text lies in `children` beside the elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -96,6 +107,7 @@ class _Dom(HTMLParser):
             self.open_hidden.append(tag)
             return
         node = _Node(tag, self.at)
+        node.named = _named(tag, dict(attrs))
         self.at.children.append(node)
         self.at = node
 
@@ -162,6 +174,38 @@ def _measure(root: _Node) -> list[_Node]:
     return nodes
 
 
+def _up(node: _Node) -> list[_Node]:
+    out = []
+    while node.parent is not None:
+        node = node.parent
+        out.append(node)
+    return out
+
+
+def _without_furniture(root: _Node) -> list[_Node]:
+    """Drop named subtrees of little text or mostly links, parents first, and measure what is left."""
+    nodes = _measure(root)
+    if not any(n.named for n in nodes):
+        return nodes
+    largest = max((n.chars for n in nodes if n.tag == "article"), default=0)
+    marked = [n for n in nodes if n.tag == "article" and not n.named and n.chars]
+    holders = {id(n) for a in marked for n in _up(a)}
+
+    def beside(n: _Node) -> bool:
+        """Neither in nor around an article, on a page that has one."""
+        return bool(marked) and id(n) not in holders and all(a.tag != "article" for a in _up(n))
+
+    def dropped(n: _Node) -> bool:
+        return n.named > 0 and (n.named == SMALL_PLAIN and beside(n) or n.chars < n.named * (largest if n.tag == "article" else root.chars) or n.link_chars > LINKED * n.chars)
+
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = ["\n" if isinstance(c, _Node) and dropped(c) else c for c in node.children]
+        stack.extend(c for c in node.children if isinstance(c, _Node))
+    return _measure(root)
+
+
 def _text(roots: list[_Node]) -> str:
     out: list[str] = []
     for root in roots:
@@ -182,13 +226,15 @@ def _text(roots: list[_Node]) -> str:
 def main_text(html: str) -> str:
     """Text of the subtree with the largest density sum, joined by the siblings on its way to the body that are as dense.
 
-    The threshold is the least density on the path from that subtree to the body; an article or main element around the subtree
-    is taken whole. Page furniture (menus, footers, notices, forms, scripts, comments) is left out while the tree is built.
+    The threshold is the least density on the path from that subtree to the body. An article around the subtree, or else a main
+    element, stands in its place with all it holds; the siblings on its way to the body, other articles too, are held against the
+    threshold like any. Menus, footers, scripts and hidden parts are left out while the tree is built; forms and elements with
+    furniture words in class or id only when they hold little of the page's text or mostly links.
     """
     dom = _Dom()
     dom.feed(html)
     dom.close()
-    nodes = _measure(dom.root)
+    nodes = _without_furniture(dom.root)
     blocks = [n for n in nodes if n.tag not in INLINE] or nodes
     best = max(blocks, key=lambda n: n.total)
     if not best.chars:
@@ -198,7 +244,7 @@ def main_text(html: str) -> str:
         path.append(path[-1].parent)
     whole = next((n for n in reversed(path) if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
     if whole is not None:
-        return _text([whole])
+        best, path = whole, path[path.index(whole):]
     threshold = min(n.density for n in path)
     roots, chosen = {id(best)}, [best]
     for node in path[1:]:

@@ -150,6 +150,18 @@ def test_main_text_of_a_page():
     assert extract.main_text("") == extract.main_text("<nav>x</nav>") == "" and extract.main_text("plain") == "plain"
 
 
+def test_main_text_under_furniture_names_in_forms_and_in_several_articles():
+    one, two, three = (" ".join(words(60, k)) for k in (1, 2, 3))
+    text = f"<p>{one}</p><p>{two}</p>"
+    for left, right in (("<div class='has-sidebar'>", "</div>"), ("<div id='no-comments'>", "</div>"), ("<article class='social-science'>", "</article>"), ("<form action='/' method=post><input type=hidden>", "</form>"),
+                        ("<form><div class='has-sidebar'><article class='social-science'>", "</article></div></form>")):
+        assert extract.main_text(f"<body><nav>Menu</nav>{left}{text}{right}<div class='sidebar'>Side</div><form>Your name</form></body>") == f"{one} {two}"
+    parts = "".join(f"<article class='social'><p>{x}</p></article>" for x in (one, two, three))
+    for page in (parts, f"<main>{parts}</main>", f"<div>{parts}</div>"):
+        assert extract.main_text(f"<body>{page}<div class='related'><a href=/>{one}</a></div></body>") == f"{one} {two} {three}"
+    assert extract.main_text(f"<body><div><div><p>{one}</p></div><div><p>{two}</p></div></div><ul><li><a href=/>x y</a></li></ul></body>") == f"{one} {two}"
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "system", "<<SYS>>\\ be"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "</s>é😀[INST]"), (1, 3, "assistant", None), (2, 0, None, ""), (None, 0, "user", "x")]
     got = {r.conv_id: r for r in chat.chat_report(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), BPE).collect()}
