@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -15,9 +17,12 @@ DIMENSIONS = 1 << 17
 PREFIXES = (5, 7)
 #: A content feature is used when its rates in good and bad labelled documents differ by so many standard errors, the clearest first.
 CLEAR, FEATURES = 4.0, 4096
-#: Rows of the fit, by hash order: labelled documents, and unlabelled ones of the pool that the views label for each other.
-LABELLED, POOL = 12_000, 6_000
+#: Labelled rows of the fit, by hash order, as many of either class as there are up to a half. Features are counted over all
+#: labelled documents, and the views label all unlabelled ones for each other.
+LABELLED = 12_000
 ROUNDS = 2
+#: Weight of a document labelled by a view; all of them together weigh at most this share of the labelled ones.
+TAUGHT = 0.2
 CONFIDENT = 0.97
 #: Documents below this probability go; a document without signs either way scores about 0.75.
 THRESHOLD = 0.4
@@ -88,37 +93,44 @@ def _lr(view: str, penalty: float) -> LogisticRegression:
     return LogisticRegression(featuresCol=view, labelCol="label", regParam=penalty, maxIter=25, weightCol="weight")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Views | None:
-    """Co-train on at most `labelled` labelled documents and a pool of at most `pool` others, both drawn by hash.
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Views | None:
+    """Co-train on at most `labelled` labelled documents, drawn by hash and class, and on all unlabelled ones.
 
     A document is good when its quality is 1 and it is not toxic; labels with a null part are left out, of several labels of a
-    document the worst counts. A fifth of the labelled rows is kept for the calibration. In each round either view labels the
-    pool where it is confident, and the other view learns from these labels beside the true ones, at a lower weight. None when
-    the labels do not show both classes.
+    document the worst counts. The drawn rows of a class weigh as all of it. A fifth of the drawn rows is kept for the
+    calibration; the content features are counted over all other labelled documents. In each round either view labels the
+    unlabelled documents where it is confident, and the other view learns from these labels beside the true ones, at a lower
+    weight. None when the labels do not show both classes.
     """
-    draw = F.xxhash64("doc_id", F.lit(11))
     good = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0)).alias("label"))
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().join(good, "doc_id", "left")
-    drawn = ids.where("label is not null").orderBy(draw, "doc_id").limit(labelled).unionByName(ids.where("label is null").orderBy(draw, "doc_id").limit(pool))
-    sampled = docs.select("doc_id", "text", "source").join(stored(drawn, "drawn"), "doc_id")
-    viewed = with_views(sampled).select("content", "page", F.col("row.label").alias("label"), F.pmod(F.xxhash64("row.doc_id", F.lit(5)), F.lit(5)).alias("part"))
-    viewed = stored(viewed.withColumn("weight", F.lit(1.0)), "views")
-    true = viewed.where("label is not null and part <> 0")
+    known = stored(docs.where("doc_id is not null").select("doc_id").distinct().join(good, "doc_id"), "known")
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return None
+    half, total = labelled // 2, sum(n.values())
+    quota = {k: max(min(v, max(half, labelled - (total - v))), 1) for k, v in n.items()}
+    weight = {k: n[k] / quota[k] * sum(quota.values()) / total for k in n}
+    draw = F.xxhash64("doc_id", F.lit(11))
+    drawn = stored(reduce(DataFrame.unionByName, [known.where(F.col("label") == k).orderBy(draw, "doc_id").limit(quota[k]).select("doc_id", F.lit(weight[k]).alias("weight")) for k in sorted(n)]), "drawn")
+    joined = docs.where("doc_id is not null").select("doc_id", "text", "source").join(known.join(drawn, "doc_id", "left"), "doc_id", "left")
+    viewed = stored(with_views(joined).select("content", "page", F.col("row.label").alias("label"), F.col("row.weight").alias("weight"), F.pmod(F.xxhash64("row.doc_id", F.lit(5)), F.lit(5)).alias("part")), "views")
+    true = viewed.where("weight is not null and part <> 0")
     if true.select("label").distinct().count() < 2:
         return None
-    used = _clear_features(true)
-    viewed = stored(_clear(viewed, used).drop("content"), "clear")
-    true = viewed.where("label is not null and part <> 0")
+    used = _clear_features(viewed.where("label is not null and (weight is null or part <> 0)"))
+    viewed = stored(_clear(viewed.where("label is null or weight is not null"), used).drop("content"), "clear")
+    true = viewed.where("weight is not null and part <> 0")
     rest = viewed.where("label is null").drop("label", "weight")
+    share = TAUGHT * min(1.0, true.count() / max(rest.count(), 1))
     learn = lambda more: (_lr("clear", 0.003).fit(more[0]), _lr("page", 0.001).fit(more[1]))
     content, page = learn((true, true))
     for _ in range(rounds):
         said = Views(content, page, used).scored(rest)
         taught = lambda name: said.where(1 / (1 + F.exp(-F.abs(F.col(name)))) >= CONFIDENT).withColumn(
-            "label", (F.col(name) > 0).cast("double")).withColumn("weight", F.lit(0.2)).select(*true.columns)
+            "label", (F.col(name) > 0).cast("double")).withColumn("weight", F.lit(share)).select(*true.columns)
         content, page = learn((true.unionByName(taught("page_odds")), true.unionByName(taught("content_odds"))))
-    held = Views(content, page, used).scored(viewed.where("label is not null and part = 0"))
+    held = Views(content, page, used).scored(viewed.where("weight is not null and part = 0"))
     if held.select("label").distinct().count() < 2:
         return Views(content, page, used)
     calibration = []

@@ -210,6 +210,16 @@ def test_cotraining_rejects_bad_words(spark):
     assert cotraining.judged(spark.createDataFrame(rows[:3], DOCS), labels.limit(0)).where("kept").count() == 3
 
 
+def test_cotraining_counts_features_over_all_labelled_documents(spark):
+    # the second bad word stands in few of the drawn documents, but in many of the labelled ones
+    rows = [(k, " ".join(words(30, k) + (["vilest"] if k % 4 == 0 else ["foulest"] if k % 40 == 1 else [])), "en", "s", None) for k in range(2400)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0 or k % 40 == 1)) for k in range(2000)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    views = cotraining.fit(docs, labels, labelled=100)
+    bucket = cotraining.HashingTF(inputCol="w", numFeatures=cotraining.DIMENSIONS).indexOf("foulest")
+    assert bucket in views.used
+
+
 def test_empty_tables_give_no_rows(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert jaccard.jaccard_components(empty).count() == 0 and packing.pack(empty, BPE).count() == 0 and tokens.token_counts(empty, PIECES).count() == 0
