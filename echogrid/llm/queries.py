@@ -129,3 +129,42 @@ def op10_quality_classifier(spark, sf_dir):
 
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         F.col("row.doc_id").alias("doc_id"), F.round("content_odds", 4).alias("content_odds"), F.round("page_odds", 4).alias("page_odds"), F.round("score", 6).alias("score"), "kept")
+
+
+@query("op12_merkle_manifest", sql=r"""
+WITH RECURSIVE f AS (SELECT doc_id, source, text,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS v,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), replace(text, chr(10), '')] AS u,
+    xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_concat([ord(ch)::UBIGINT], list_transform(range(8), lambda i: 1000::UBIGINT))))),
+      lambda c, x: CASE WHEN x < 1000 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::UBIGINT * (c & 1::UBIGINT)) END), 4294967295::UBIGINT) AS crc FROM documents),
+h AS (SELECT doc_id, source, crc, array_to_string(list_transform(v, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '') AS a,
+    array_to_string(list_transform(u, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '') AS b FROM f),
+d AS (SELECT doc_id, source, sha256(a) AS leaf, CASE WHEN crc % 2 = 0 THEN sha256(b) ELSE sha256(a) END AS claimed FROM h),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS total FROM d),
+n(lvl, source, pos, digest, total) AS (SELECT 0, source, pos, leaf, total FROM l
+  UNION ALL SELECT lvl + 1, source, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (total + 2) // 3 FROM n WHERE total > 1 GROUP BY lvl, source, pos // 3, total),
+b AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM n WHERE total = 1),
+m(lvl, pos, digest, total) AS (SELECT 0, pos, subroot, total FROM b
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (total + 2) // 3 FROM m WHERE total > 1 GROUP BY lvl, pos // 3, total),
+s AS (SELECT x.lvl, x.source, x.pos, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS lo, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS hi
+  FROM n x JOIN n y ON x.lvl = y.lvl AND x.source IS NOT DISTINCT FROM y.source AND x.pos // 3 = y.pos // 3 WHERE x.total > 1 GROUP BY ALL),
+t AS (SELECT x.lvl, x.pos, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS lo, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS hi
+  FROM m x JOIN m y ON x.lvl = y.lvl AND x.pos // 3 = y.pos // 3 WHERE x.total > 1 GROUP BY ALL),
+p(lvl, source, start, pos, total, proof, node) AS (SELECT 0, source, pos, pos, total, '', claimed FROM l
+  UNION ALL SELECT p.lvl + 1, p.source, p.start, p.pos // 3, (p.total + 2) // 3, p.proof || s.lo || s.hi, sha256(s.lo || p.node || s.hi)
+  FROM p JOIN s ON p.lvl = s.lvl AND p.source IS NOT DISTINCT FROM s.source AND p.pos = s.pos),
+q(lvl, source, start, pos, total, proof, node) AS (SELECT 0, p.source, p.start, b.pos, b.total, p.proof, p.node FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source WHERE p.total = 1
+  UNION ALL SELECT q.lvl + 1, q.source, q.start, q.pos // 3, (q.total + 2) // 3, q.proof || t.lo || t.hi, sha256(t.lo || q.node || t.hi) FROM q JOIN t ON q.lvl = t.lvl AND q.pos = t.pos),
+r AS (SELECT digest AS root FROM m WHERE total = 1)
+SELECT l.doc_id, l.leaf, b.subroot, r.root, sha256(q.proof) AS proof_sha256, q.node AS folded_root, q.node = r.root AS verified
+FROM l JOIN b ON l.source IS NOT DISTINCT FROM b.source JOIN q ON q.total = 1 AND q.source IS NOT DISTINCT FROM l.source AND q.start = l.pos, r
+""")
+def op12_merkle_manifest(spark, sf_dir):
+    """Proofs of all documents in the corpus tree, refolded from texts of which half lost their line feeds."""
+    from pyspark.sql import functions as F
+
+    from echogrid.llm.merkle import folded, manifest
+
+    doc_id = F.col("doc_id").cast("string")
+    text = F.when(F.crc32(doc_id) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return folded(manifest(table(spark, sf_dir, "documents"), [doc_id, F.col("source"), F.col("lang"), F.col("n_chars"), text]))
