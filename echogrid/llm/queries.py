@@ -168,3 +168,35 @@ def op12_merkle_manifest(spark, sf_dir):
     doc_id = F.col("doc_id").cast("string")
     text = F.when(F.crc32(doc_id) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
     return folded(manifest(table(spark, sf_dir, "documents"), [doc_id, F.col("source"), F.col("lang"), F.col("n_chars"), text]))
+
+
+@query("op13_ranked_search", sql=r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT * FROM d WHERE len(w) > 0),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+i AS (SELECT item_id, term, count(*) AS repeats FROM b GROUP BY ALL),
+g AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM k),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM k) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, g GROUP BY term, docs),
+m AS (SELECT doc_id, row, 25 + (75 * len(w) * docs) // terms AS m FROM k, g),
+s AS (SELECT item_id, doc_id, row, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN t USING (term) JOIN m USING (row) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""")
+def op13_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item, from all documents."""
+    from echogrid.llm.lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_lm_scoring")
+def op11_lm_scoring(spark, sf_dir):
+    """Hidden Markov likelihood of all documents; no SQL form, the base and the recursion are tested by brute force."""
+    from pyspark.sql import functions as F
+
+    from echogrid.llm.hmm import likelihoods
+
+    return likelihoods(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
