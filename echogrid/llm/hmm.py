@@ -133,8 +133,8 @@ def _encode(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         shared = classes >= known.own
         log = np.zeros(len(hashes))
         log[found] = logs[at[found]]
-        base = np.bincount(owner, log, n)
-        inner = np.bincount(owner[shared], log[shared] - spread[classes[shared] - known.own], n)
+        base = np.bincount(owner, log, n).astype(float)
+        inner = np.bincount(owner[shared], log[shared] - spread[classes[shared] - known.own], n).astype(float)
         rare = ~found
         order = np.lexsort((hashes[rare], owner[rare]))
         word, whose = hashes[rare][order], owner[rare][order]
