@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,22 +27,30 @@ FURNITURE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar banner cookie cookies consent gdpr notice alert popup modal overlay ad ads advert adverts "
     "advertisement advertising sponsor sponsored promo promotion comment comments disqus respond reply replies discussion share sharing social related recommended newsletter subscribe "
     "subscription signup login search pagination pager widget toolbar skip".split())
-#: What is named like furniture, or is a form, goes when it holds less than this share of the page's text (an article: of the
-#: largest article's), or when this share of its own text is links. A name of furniture words only (`ad`, not `has-sidebar`)
-#: says more: it asks for more text, and goes in any case beside an article that has no such name.
-SMALL, SMALL_PLAIN, LINKED = 0.25, 0.5, 0.5
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words that name the head of an article as well as that of a page.
+HEADS = frozenset("header masthead topbar".split())
 SPACE = re.compile(r"\s+")
+#: Five words and the end of a sentence.
+SENTENCE = re.compile(r"(?:\S+\s+){4,}\S*[.!?。！？…]")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "own", "density", "total", "named")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "own", "density", "total", "named", "depth", "anchor", "in_article", "block", "open_inline", "label")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = 0
         self.density = self.total = 0.0
-        self.named = 0.0
+        #: Is it, or does it lie in, an article or main element without a named element between?
+        self.named, self.anchor = False, tag == "main" or parent is not None and parent.anchor
+        #: Named elements around this one, itself included; is it in an article or main element, itself included?
+        self.depth = parent.depth if parent else 0
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        #: The nearest block, itself if it is one, and the inline elements that are open in a block.
+        self.block = parent.block if parent is not None and tag in INLINE else self
+        self.open_inline: dict[str, int] = {}
+        self.label: str | None = None
 
 
 def _furniture(tag: str, attributes: dict[str, str | None], in_article: bool) -> bool:
@@ -51,14 +60,14 @@ def _furniture(tag: str, attributes: dict[str, str | None], in_article: bool) ->
     return attributes.get("role") in SKIPPED_ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or ""))
 
 
-def _named(tag: str, attributes: dict[str, str | None]) -> float:
-    """For a form or an element named like furniture, the share of text below which it is furniture; else 0."""
+def _named(tag: str, attributes: dict[str, str | None], in_article: bool) -> bool:
+    """Is it a form, or named like furniture? The head of an article is not, and html, body and main never are."""
     if tag in ("html", "body", "main"):
-        return 0.0
-    names = [[w.lower() in FURNITURE for w in NAME_WORD.findall(name)] for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()]
-    if tag != "article" and any(name and all(name) for name in names):
-        return SMALL_PLAIN
-    return SMALL if tag == "form" or attributes.get("role") == "form" or any(any(name) for name in names) else 0.0
+        return False
+    if tag == "form" or attributes.get("role") == "form":
+        return True
+    said = {w.lower() for w in NAME_WORD.findall(f"{attributes.get('class') or ''} {attributes.get('id') or ''}")} & FURNITURE
+    return bool(said - HEADS if in_article else said)
 
 
 class _Dom(HTMLParser):
@@ -67,12 +76,19 @@ class _Dom(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = _Node("html", None)
-        self.at, self.hidden, self.open_hidden = self.root, 0, []
+        self.at, self.open_hidden, self.hidden_tags, self.open_tags = self.root, [], Counter(), Counter()
 
     def _close(self, node: _Node) -> None:
-        self.at = node.parent or self.root
+        """Ends `node` and all that is open in it."""
+        while self.at is not node.parent:
+            self.open_tags[self.at.tag] -= 1
+            if self.at.block is not self.at:
+                self.at.block.open_inline[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _end_open(self, tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
+        if not any(self.open_tags[t] for t in tags):
+            return
         node = self.at
         while node.parent is not None and node.tag not in until:
             if node.tag in tags:
@@ -83,9 +99,10 @@ class _Dom(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if self.open_hidden:
             if tag not in VOID:
-                if tag in SIBLINGS and tag in self.open_hidden and self.open_hidden[-1] in SIBLINGS[tag][0]:
-                    self.open_hidden.pop()
+                if tag in SIBLINGS and self.hidden_tags[tag] and self.open_hidden[-1] in SIBLINGS[tag][0]:
+                    self.hidden_tags[self.open_hidden.pop()] -= 1
                 self.open_hidden.append(tag)
+                self.hidden_tags[tag] += 1
             return
         if tag in ("html", "body"):
             return
@@ -97,19 +114,21 @@ class _Dom(HTMLParser):
             self.at.children.append("\n")
         if tag in VOID:
             return
-        in_article = False
-        node = self.at
-        while node is not None and not in_article:
-            in_article = node.tag in ("article", "main")
-            node = node.parent
-        if _furniture(tag, dict(attrs), in_article):
+        attributes = dict(attrs)
+        if _furniture(tag, attributes, self.at.in_article):
             self.at.children.append("\n")
             self.open_hidden.append(tag)
+            self.hidden_tags[tag] += 1
             return
         node = _Node(tag, self.at)
-        node.named = _named(tag, dict(attrs))
+        node.named = _named(tag, attributes, self.at.in_article)
+        node.depth, node.label = node.depth + node.named, attributes.get("class")
+        node.anchor = not node.named and (node.anchor or tag == "article" or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody")
         self.at.children.append(node)
         self.at = node
+        self.open_tags[tag] += 1
+        if node.block is not node:
+            node.block.open_inline[tag] = node.block.open_inline.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -119,20 +138,23 @@ class _Dom(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.open_hidden:
-            if tag in self.open_hidden:
-                while self.open_hidden.pop() != tag:
-                    pass
+            if self.hidden_tags[tag]:
+                last = ""
+                while last != tag:
+                    last = self.open_hidden.pop()
+                    self.hidden_tags[last] -= 1
                 return
             if tag not in ("article", "main", "body", "html"):
                 return
             self.open_hidden.clear()  # furniture left open ends with the part of the page around it
+            self.hidden_tags.clear()
+        if not self.open_tags[tag] or tag in INLINE and not self.at.block.open_inline.get(tag):
+            return
         node = self.at
         while node.parent is not None:
             if node.tag == tag:
                 self._close(node)
                 return
-            if tag in INLINE and node.tag not in INLINE:
-                return
             node = node.parent
 
     def handle_data(self, data: str) -> None:
@@ -174,34 +196,63 @@ def _measure(root: _Node) -> list[_Node]:
     return nodes
 
 
-def _up(node: _Node) -> list[_Node]:
-    out = []
-    while node.parent is not None:
-        node = node.parent
-        out.append(node)
-    return out
+def _core_depth(nodes: list[_Node]) -> int:
+    """How many named elements lie around the article.
+
+    The article is looked for in the parts of the page with the fewest named elements around them: first where an article or
+    main element has text of its own depth, then where a sentence stands, then where there is text at all. How much text the
+    named elements hold plays no part.
+    """
+    anchored, spoken, any_ = [], [], []
+    for node in nodes:
+        if node.tag in INLINE:
+            continue
+        said = _plain(node)
+        if not said:
+            continue
+        any_.append(node.depth)
+        if SENTENCE.search(said):
+            spoken.append(node.depth)
+        if node.anchor:
+            anchored.append(node.depth)
+    return min(anchored or spoken or any_ or [0])
+
+
+def _plain(block: _Node) -> str:
+    """Text of a block outside links and outside blocks inside it."""
+    out, stack = [], list(reversed(block.children))
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif item.tag in INLINE and item.tag != "a" and not item.named:
+            stack.extend(reversed(item.children))
+    return SPACE.sub(" ", "".join(out)).strip()
 
 
 def _without_furniture(root: _Node) -> list[_Node]:
-    """Drop named subtrees of little text or mostly links, parents first, and measure what is left."""
+    """Drop every named element that is not around the article, and measure what is left.
+
+    Named elements around the article (a page-wide form, a wrapper called `has-sidebar`) stay; those beside or inside it go,
+    whatever they hold. Of several wrappers of the same depth, those around the densest block stay, and their equals beside them.
+    """
     nodes = _measure(root)
     if not any(n.named for n in nodes):
         return nodes
-    largest = max((n.chars for n in nodes if n.tag == "article"), default=0)
-    marked = [n for n in nodes if n.tag == "article" and not n.named and n.chars]
-    holders = {id(n) for a in marked for n in _up(a)}
-
-    def beside(n: _Node) -> bool:
-        """Neither in nor around an article, on a page that has one."""
-        return bool(marked) and id(n) not in holders and all(a.tag != "article" for a in _up(n))
-
-    def dropped(n: _Node) -> bool:
-        return n.named > 0 and (n.named == SMALL_PLAIN and beside(n) or n.chars < n.named * (largest if n.tag == "article" else root.chars) or n.link_chars > LINKED * n.chars)
-
+    depth = _core_depth(nodes)
+    here = [n for n in nodes if n.depth == depth and n.tag not in INLINE]
+    best = max(here, key=lambda n: (sum(k.density for k in n.children if isinstance(k, _Node) and k.tag not in INLINE and not k.named) + n.own), default=root)
+    around: set[int] = set()
+    above: _Node | None = best
+    while above is not None:
+        around.add(id(above))
+        if above.named and above.parent is not None:  # a list of articles: equal elements side by side
+            around |= {id(c) for c in above.parent.children if isinstance(c, _Node) and (c.tag, c.label) == (above.tag, above.label)}
+        above = above.parent
     stack = [root]
     while stack:
         node = stack.pop()
-        node.children = ["\n" if isinstance(c, _Node) and dropped(c) else c for c in node.children]
+        node.children = ["\n" if isinstance(c, _Node) and c.named and id(c) not in around else c for c in node.children]
         stack.extend(c for c in node.children if isinstance(c, _Node))
     return _measure(root)
 
@@ -229,7 +280,7 @@ def main_text(html: str) -> str:
     The threshold is the least density on the path from that subtree to the body. An article around the subtree, or else a main
     element, stands in its place with all it holds; the siblings on its way to the body, other articles too, are held against the
     threshold like any. Menus, footers, scripts and hidden parts are left out while the tree is built; forms and elements with
-    furniture words in class or id only when they hold little of the page's text or mostly links.
+    furniture words in class or id go unless the article lies in them. Time grows with the page, not with its nesting.
     """
     dom = _Dom()
     dom.feed(html)
@@ -246,10 +297,10 @@ def main_text(html: str) -> str:
     if whole is not None:
         best, path = whole, path[path.index(whole):]
     threshold = min(n.density for n in path)
-    roots, chosen = {id(best)}, [best]
+    roots, chosen, on_path = {id(best)}, [best], {id(n) for n in path}
     for node in path[1:]:
         for kid in node.children:
-            if isinstance(kid, _Node) and id(kid) not in roots and kid not in path and kid.tag not in INLINE and kid.density >= threshold and kid.chars:
+            if isinstance(kid, _Node) and id(kid) not in roots and id(kid) not in on_path and kid.tag not in INLINE and kid.density >= threshold and kid.chars:
                 roots.add(id(kid))
                 chosen.append(kid)
     place = {id(n): k for k, n in enumerate(_page_order(dom.root))}

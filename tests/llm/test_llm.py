@@ -216,8 +216,8 @@ def test_cotraining_counts_features_over_all_labelled_documents(spark):
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0 or k % 40 == 1)) for k in range(2000)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, DOCS)
     views = cotraining.fit(docs, labels, labelled=100)
-    bucket = cotraining.HashingTF(inputCol="w", numFeatures=cotraining.DIMENSIONS).indexOf("foulest")
-    assert bucket in views.used
+    _, buckets = cotraining.content_features(cotraining.words(["foulest"], cotraining.LETTERS))
+    assert buckets[0] in views.used
 
 
 def test_empty_tables_give_no_rows(spark, empty):
