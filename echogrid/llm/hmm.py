@@ -29,9 +29,11 @@ FREQUENT = 1 << 19
 SMOOTH = 0.1
 #: Share of the class frequencies mixed into each state's emissions, and of a uniform row into its transitions, for scoring.
 MIXED = 0.02
-SEGMENT = 256
+SEGMENT = 512
 #: Segments worked on at once.
-GROUP = 4096
+GROUP = 2048
+#: Steps between two rescalings: probabilities of 1e-12 each stay far above the smallest double.
+RESCALE = 8
 SEED = 11
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 TINY = 1e-12
@@ -189,18 +191,25 @@ def _groups(size: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield group, len(group) - np.searchsorted(size[group][::-1], np.arange(steps), side="right")
 
 
+def _emissions(s: Segments, model: Model, group: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a group by step, and the probability of each under every state."""
+    token = s.tokens[np.minimum(s.begin[group] + np.arange(steps)[:, None], len(s.tokens) - 1)]
+    return token, np.take(model.emit, token, axis=0)
+
+
 def _products(s: Segments, model: Model, chosen: np.ndarray) -> np.ndarray:
     """Matrix of each chosen segment: distribution before its first token -> state weights at its last, up to a factor."""
     k = len(model.start)
     out = np.zeros((len(s.size), k, k))
     for group, running in _groups(s.size, chosen):
-        now = model.emit[s.tokens[s.begin[group]]][:, None, :] * np.eye(k)
+        _, emit = _emissions(s, model, group, len(running))
+        now = emit[0][:, None, :] * np.eye(k)
         for t, n in enumerate(running):
-            if not t:
-                continue
-            now[:n] = (now[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[s.tokens[s.begin[group[:n]] + t]][:, None, :]
-            now[:n] /= now[:n].max(axis=(1, 2), keepdims=True)
-        out[group] = now
+            if t:
+                np.multiply((now[:n].reshape(-1, k) @ model.move).reshape(n, k, k), emit[t, :n, None, :], out=now[:n])
+            if t % RESCALE == RESCALE - 1:
+                now[:n] /= now[:n].reshape(n, -1).max(axis=1)[:, None, None]
+        out[group] = now / now.reshape(len(now), -1).max(axis=1)[:, None, None]
     return out
 
 
@@ -233,13 +242,15 @@ def log_likelihoods(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     entry, _, _ = _borders(s, model, backward=False)
     out, ones = np.zeros(len(s.size)), np.ones(len(model.start))
     for group, running in _groups(s.size, np.arange(len(s.size))):
+        _, emit = _emissions(s, model, group, len(running))
         now, total = entry[group], np.zeros(len(group))
         for t, n in enumerate(running):
-            ahead = (now[:n] @ model.move if t else now[:n]) * model.emit[s.tokens[s.begin[group[:n]] + t]]
-            scale = ahead @ ones
-            total[:n] += np.log(scale)
-            now = ahead / scale[:, None]
-        out[group] = total
+            now[:n] = (now[:n] @ model.move if t else now) * emit[t, :n]
+            if t % RESCALE == RESCALE - 1:
+                scale = now[:n] @ ones
+                total[:n] += np.log(scale)
+                now[:n] /= scale[:, None]
+        out[group] = total + np.log(now @ ones)
     return np.bincount(s.text, out, len(sequences))
 
 
@@ -259,28 +270,32 @@ def expect(sequences: list[np.ndarray], model: Model) -> Expected:
     entry, earlier, exit_ = _borders(s, model, backward=True)
     start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
     for group, running in _groups(s.size, np.arange(len(s.size))):
-        steps = len(running)
-        token = s.tokens[np.minimum(s.begin[group] + np.arange(steps)[:, None], len(s.tokens) - 1)]
-        alpha, scales = np.zeros((steps, len(group), k)), np.ones((steps, len(group)))
+        steps, size = len(running), s.size[group]
+        token, emission = _emissions(s, model, group, steps)
+        alpha, scales = np.zeros((steps, len(group), k)), {}
         for t, n in enumerate(running):
-            ahead = (alpha[t - 1, :n] @ model.move if t else entry[group]) * model.emit[token[t, :n]]
-            scales[t, :n] = ahead @ ones
-            alpha[t, :n] = ahead / scales[t, :n, None]
-        log += float(np.log(scales).sum())
-        last = alpha[s.size[group] - 1, np.arange(len(group))]
+            np.multiply(alpha[t - 1, :n] @ model.move if t else entry[group], emission[t, :n], out=alpha[t, :n])
+            if t % RESCALE == RESCALE - 1:
+                scales[t] = alpha[t, :n] @ ones
+                alpha[t, :n] /= scales[t][:, None]
+                log += float(np.log(scales[t]).sum())
+        # weights behind the end, such that state probabilities sum to one at every step
+        last = alpha[size - 1, np.arange(len(group))]
+        log += float(np.log(last @ ones).sum())
         beta = exit_[group] / np.einsum("nk,nk->n", last, exit_[group])[:, None]
         for t in range(steps - 1, -1, -1):
             n = running[t]
-            behind = model.emit[token[t, :n]] * beta[:n] / scales[t, :n, None]
-            alpha_before = alpha[t - 1, :n] if t else earlier[group]
-            move += alpha_before.T @ behind
+            behind = emission[t, :n] * beta[:n]
+            if t in scales:
+                behind /= scales[t][:, None]
+            move += (alpha[t - 1, :n] if t else earlier[group]).T @ behind
             alpha[t, :n] *= beta[:n]
-            beta[:n] = behind @ model.move.T
+            np.matmul(behind, model.move.T, out=beta[:n])
         start += alpha[0][s.number[group] == 0].sum(axis=0)
-        used = np.arange(steps)[:, None] < s.size[group]
-        flat, weight = token[used], alpha[used]
-        for j in range(k):
-            emit[:, j] += np.bincount(flat, weight[:, j], len(emit))
+        for a in range(0, steps, 32):
+            used = np.arange(a, min(a + 32, steps))[:, None] < size
+            cell = token[a:a + 32][used][:, None] * k + np.arange(k)
+            emit += np.bincount(cell.reshape(-1), alpha[a:a + 32][used].reshape(-1), emit.size).reshape(emit.shape)
     return Expected(start, move * model.move, emit, log)
 
 
