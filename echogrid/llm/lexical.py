@@ -32,6 +32,8 @@ CELLS = 1 << 21
 BUCKET = 512
 #: Documents of the longest vectors, scored first for thresholds to start from.
 LEAD = 4096
+#: Groups of tasks whose findings for an item are cut before they meet.
+PARTS = 32
 #: Bounds are in floating point; this share more than covers their rounding.
 SLACK = 1 + 1e-9
 # Fixed values of the score.
@@ -231,9 +233,11 @@ def _block_ranking(docs: DataFrame, rows: list[tuple], top: int) -> DataFrame:
     salted = measured.withColumn("salt", F.xxhash64("doc_id", F.monotonically_increasing_id()))
     sorted_ = salted.repartitionByRange(F.desc("length"), "salt").sortWithinPartitions(F.desc("length"), "salt").drop("salt")
     best = sorted_.mapInArrow(partial(_search, block, stats, seeds, top), found)
-    rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    # cut by item and group of tasks before an item's rows meet
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    best = best.withColumn("part", F.spark_partition_id() % PARTS).withColumn("rank", rank("item", "part")).where(F.col("rank") <= top)
     names = spark.createDataFrame([(k, x) for k, x in enumerate(queries.ids)], "item long, item_id long")
-    return best.withColumn("rank", rank).where(F.col("rank") <= top).join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
+    return best.withColumn("rank", rank("item")).where(F.col("rank") <= top).join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
 
 
 def ranked(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
