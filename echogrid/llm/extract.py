@@ -203,7 +203,7 @@ def _core_depth(nodes: list[_Node]) -> int:
     main element has text of its own depth, then where a sentence stands, then where there is text at all. How much text the
     named elements hold plays no part.
     """
-    anchored, spoken, any_ = [], [], []
+    anchored, spoken, marked, any_ = [], [], [], []
     for node in nodes:
         if node.tag in INLINE:
             continue
@@ -211,11 +211,13 @@ def _core_depth(nodes: list[_Node]) -> int:
         if not said:
             continue
         any_.append(node.depth)
+        if node.in_article:
+            marked.append(node.depth)
         if SENTENCE.search(said):
             spoken.append(node.depth)
         if node.anchor:
             anchored.append(node.depth)
-    return min(anchored or spoken or any_ or [0])
+    return min(anchored or spoken or marked or any_ or [0])
 
 
 def _plain(block: _Node) -> str:
