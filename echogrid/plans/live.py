@@ -15,6 +15,8 @@ from echogrid.streaming.steps import MotionFall
 
 DAY, HOUR = 86_400, 3_600
 CHUNK_S = 6 * HOUR
+#: Chunks of the machine scans: some twenty rows of a device each, several of them a device.
+SCAN_S = 10 * DAY
 
 
 def _chunk():
@@ -115,7 +117,7 @@ _VOTE = with_views("inference", VOTE_SQL + " SELECT device_id, seq, state, cnt A
 
 
 def _vote(spark, sf):
-    return state.fall_vote(state.dedup(_results(spark, sf)), 0.3, DAY, CHUNK_S)
+    return state.fall_vote(state.dedup(_results(spark, sf)), 0.3, DAY, SCAN_S)
 
 
 @query("m2_fall_vote_fsm", _VOTE)
@@ -152,7 +154,7 @@ _SETTINGS = {"mv_threshold": 1.6, "wander_baseline": 0.5, "ratio_threshold": 2.0
 
 @query("m3_presence_fsm", _PRESENCE)
 def m3(spark, sf):
-    p = state.presence(_ticks(t.packets(spark, sf)), ["device_id"], ["ts", "seq"], "now", _chunk(), **_SETTINGS)
+    p = state.presence(_ticks(t.packets(spark, sf)), ["device_id"], ["ts", "seq"], "now", o.time_chunk("ts", SCAN_S), **_SETTINGS)
     return p.select("device_id", "seq", rnd("mv_current").alias("mv_current"), "state", rnd("last_activity_at", 3).alias("last_activity_at"), "just_changed")
 
 
@@ -177,7 +179,7 @@ SELECT device_id, seq, state, hit AS just_triggered FROM wk""", recursive=True)
 
 @query("m4_mv_fall_fsm", _MOTION)
 def m4(spark, sf):
-    m = state.motion_fall(_ticks(t.packets(spark, sf)).drop("wander"), ["device_id"], ["ts", "seq"], "now", "mv", _chunk(), MotionFall(**_MACHINE))
+    m = state.motion_fall(_ticks(t.packets(spark, sf)).drop("wander"), ["device_id"], ["ts", "seq"], "now", "mv", o.time_chunk("ts", SCAN_S), MotionFall(**_MACHINE))
     return m.select("device_id", "seq", "state", "just_triggered")
 
 
@@ -260,7 +262,7 @@ wk AS (SELECT device_id, n, seq, flag, now AS lw, true AS written FROM tk WHERE
 @query("m10_throttled_write", _THROTTLE)
 def m10(spark, sf):
     p = t.packets(spark, sf).selectExpr("device_id", "seq", "t_us / 1e6D AS now", "value < 60 AS online")
-    return state.throttled_write(p, ["device_id"], ["now", "seq"], "now", "online", 28_800.0, CHUNK_S).select("device_id", "seq", "written")
+    return state.throttled_write(p, ["device_id"], ["now", "seq"], "now", "online", 28_800.0, SCAN_S).select("device_id", "seq", "written")
 
 
 @query("m10_throttle_stream", _THROTTLE)
