@@ -31,8 +31,8 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Words that name the head of an article as well as that of a page.
 HEADS = frozenset("header masthead topbar".split())
 SPACE = re.compile(r"\s+")
-#: Five words and the end of a sentence.
-SENTENCE = re.compile(r"(?:\S+\s+){4,}\S*[.!?。！？…]")
+#: Marks that end a sentence.
+ENDS = ".!?。！？…"
 
 
 class _Node:
@@ -213,7 +213,7 @@ def _core_depth(nodes: list[_Node]) -> int:
         any_.append(node.depth)
         if node.in_article:
             marked.append(node.depth)
-        if SENTENCE.search(said):
+        if said.count(" ", 0, max(map(said.rfind, ENDS)) + 1) >= 4:  # five words and the end of a sentence
             spoken.append(node.depth)
         if node.anchor:
             anchored.append(node.depth)
