@@ -21,8 +21,9 @@ from echogrid.llm.words import NOT_SPACE, Words, mix, words
 DIMENSIONS = 1 << 17
 #: Word beginnings of these many bytes are content features beside the words.
 PREFIXES = (5, 7)
-#: A content feature is used when its rates in good and bad labelled documents differ by so many standard errors.
-CLEAR = 4.0
+#: A content feature is used when its rates in good and bad labelled documents differ by so many standard errors and by this
+#: factor: with many labels every word differs a little, and what is used must not depend on their number.
+CLEAR, FACTOR = 4.0, 2.0
 #: Labelled rows of the fit, by hash order, as many of either class as there are up to a half. Features are counted over all
 #: labelled documents, and the views label all unlabelled ones for each other.
 LABELLED = 12_000
@@ -109,13 +110,27 @@ def page_features(texts: list[str], n_chars: list[int | None], langs: list[str |
     return out
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for a join that shuffles them."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in strings(batch, "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled documents of a task that hold each content bucket; bucket -1 counts the documents."""
+    import zstandard
+
+    unpacker = zstandard.ZstdDecompressor()
     total = np.zeros((2, DIMENSIONS), dtype=np.int64)
     seen = np.zeros(2, dtype=np.int64)
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "packed", 800_000):
         label = piece.column("label").to_numpy().astype(np.int64)
-        owner, bucket = _distinct(*content_features(words(strings(piece, "text"), LETTERS)), piece.num_rows, DIMENSIONS)
+        texts = [unpacker.decompress(b).decode("utf-8", "surrogatepass") for b in piece.column("packed").to_pylist()]
+        owner, bucket = _distinct(*content_features(words(texts, LETTERS)), piece.num_rows, DIMENSIONS)
         total += np.bincount(label[owner] * DIMENSIONS + bucket, minlength=2 * DIMENSIONS).reshape(2, DIMENSIONS)
         seen += np.bincount(label, minlength=2)
     some = np.flatnonzero(total.any(axis=0))
@@ -143,7 +158,7 @@ def _viewed(used, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ends = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
         clear = pa.ListArray.from_arrays(pa.array(ends), pa.array(number.astype(str), pa.string()))
         page = _page(piece)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, page.size + 1, PAGE, dtype=np.int32)), pa.array(page.reshape(-1)))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, page.size + 1, PAGE, dtype=np.int32)), pa.array(page.reshape(-1).astype(np.float32)))
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), clear, flat], ["doc_id", "clear", "page"])
 
 
@@ -174,13 +189,14 @@ def _raw(model, view: str, df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_features(labelled: DataFrame) -> np.ndarray:
-    """Every content bucket whose presence separates the labels of `labelled` (text, label 0 or 1); bucket 0 where none does."""
+    """Every content bucket whose presence separates the labels of `labelled` (packed, label 0 or 1); bucket 0 where none does."""
     counted = labelled.mapInArrow(_counted, "bucket long, good long, bad long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     bucket, good, bad = (counted.column(c).to_numpy() for c in ("bucket", "good", "bad"))
     n_good, n_bad = (max(int(x[bucket == -1].sum()), 1) for x in (good, bad))
     p = (good + bad + 1) / (n_good + n_bad + 2)
     z = np.abs(bad / n_bad - good / n_good) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_good + 1 / n_bad))
-    used = np.sort(bucket[(bucket >= 0) & (z >= CLEAR)])
+    apart = np.abs(np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))) >= np.log(FACTOR)
+    used = np.sort(bucket[(bucket >= 0) & (z >= CLEAR) & apart])
     return used if len(used) else np.zeros(1, dtype=np.int64)
 
 
@@ -208,14 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     draw = F.xxhash64("doc_id", F.lit(11))
     drawn = reduce(DataFrame.unionByName, [known.where(F.col("label") == k).orderBy(draw, "doc_id").limit(quota[k]).select("doc_id", F.lit(weight[k]).alias("weight")) for k in sorted(n)])
     marked = stored(known.join(drawn, "doc_id", "left"), "marked")
-    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    used = clear_features(texts.join(marked.where("part <> 0").select("doc_id", "label"), "doc_id").select("text", F.col("label").cast("long").alias("label")))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packed, "doc_id long, packed binary")
+    used = clear_features(texts.join(marked.where("part <> 0").select("doc_id", "label"), "doc_id").select("packed", F.col("label").cast("long").alias("label")))
     slim = _read(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
-        partial(_viewed, spark.sparkContext.broadcast(used)), "doc_id long, clear array<string>, page array<double>")
+        partial(_viewed, spark.sparkContext.broadcast(used)), "doc_id long, clear array<string>, page array<float>")
     vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(used))], inputCol="clear", outputCol="content")
     vectors.setBinary(True).setMinTF(1.0)
     joined = slim.join(marked, "doc_id", "left").where("label is null or weight is not null")
-    viewed = stored(vectors.transform(joined).withColumn("page", array_to_vector("page")).select("content", "page", "label", "weight", "part"), "views")
+    viewed = stored(vectors.transform(joined).withColumn("page", array_to_vector(F.col("page").cast("array<double>"))).select("content", "page", "label", "weight", "part"), "views")
     true = viewed.where("weight is not null and part <> 0")
     if true.select("label").distinct().count() < 2:
         return None
