@@ -131,6 +131,31 @@ def m2s(spark, sf):
     return streams.run_to_table(s, "vote").select("device_id", "seq", "state", "fall_count", "new_fall")
 
 
+_ORDERED = with_views("inference", VOTE_SQL + """ SELECT device_id, seq, state, cnt AS fall_count, fresh AS new_fall FROM walk
+WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) - 172800000 FROM inference)""", recursive=True)
+
+
+def _shuffled_parts(spark, sf, parts=4):
+    """The event table as files that arrive one by one, each row up to a day late."""
+    path = scratch_path(spark, "parts")
+    e = t.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = e.agg(F.min("ts").alias("t")).first()["t"]
+    at = (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (1e6 * DAY) + F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000
+    dealt = e.withColumn("part", F.least(F.floor(at * parts / 30), F.lit(parts - 1)))
+    for k in range(parts):
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("m2_fall_vote_ordered_stream", _ORDERED)
+def m2o(spark, sf):
+    """Four files whose rows overlap by a day: rows wait for a watermark of two days and run in order."""
+    e = _shuffled_parts(spark, sf)
+    s = e.selectExpr("user_id AS device_id", "event_id AS seq", "ts", "least(value / 100.0D, 1.0D) AS proba_fall", "ts AS inferred_at")
+    out = streams.run_to_table(streams.fall_vote_stream(s, 0.3, DAY, "2 days", ordered=True), "vote", timers=True)
+    return out.select("device_id", "seq", "state", "fall_count", "new_fall")
+
+
 # --- presence ---------------------------------------------------------------------------------------------
 
 _TICKS = "SELECT device_id, seq, t_us / 1e6 AS now, value / 20.0::DOUBLE AS mv, ((seq * 37) % 100) / 40.0::DOUBLE AS wander FROM packets"
@@ -160,7 +185,7 @@ def m3(spark, sf):
 
 @query("m3_presence_stream", _PRESENCE)
 def m3s(spark, sf):
-    s = streams.presence_stream(_ticks(_result_stream(spark, sf)).drop("ts"), **_SETTINGS)
+    s = streams.presence_stream(_ticks(_result_stream(spark, sf)), **_SETTINGS)
     p = streams.run_to_table(s, "presence")
     return p.select("device_id", "seq", rnd("mv_current").alias("mv_current"), "state", rnd("last_activity_at", 3).alias("last_activity_at"), "just_changed")
 
@@ -185,7 +210,7 @@ def m4(spark, sf):
 
 @query("m4_mv_fall_stream", _MOTION)
 def m4s(spark, sf):
-    return streams.run_to_table(streams.motion_fall_stream(_ticks(_result_stream(spark, sf)).drop("ts", "wander"), **_MACHINE), "motion").select("device_id", "seq", "state", "just_triggered")
+    return streams.run_to_table(streams.motion_fall_stream(_ticks(_result_stream(spark, sf)).drop("wander"), **_MACHINE), "motion").select("device_id", "seq", "state", "just_triggered")
 
 
 @query("m5_upload_gate", with_views("packets", """
@@ -267,8 +292,8 @@ def m10(spark, sf):
 
 @query("m10_throttle_stream", _THROTTLE)
 def m10s(spark, sf):
-    s = _result_stream(spark, sf).select("device_id", "seq", (F.unix_micros("ts") / 1e6).alias("now"), (F.col("value") < 60).alias("online"))
-    return streams.run_to_table(streams.throttle_stream(s, 28_800.0), "throttle")
+    s = _result_stream(spark, sf).select("device_id", "seq", "ts", (F.unix_micros("ts") / 1e6).alias("now"), (F.col("value") < 60).alias("online"))
+    return streams.run_to_table(streams.throttle_stream(s, 28_800.0), "throttle").select("device_id", "seq", "written")
 
 
 @query("m11_coalesce_latest", with_views("packets", """
