@@ -32,6 +32,8 @@ TIERS = ((1, 1), (32, 2), (1024, 3))
 FREQUENT_LIMIT = 1 << 20
 SLOTS = 1 << 24
 BAND_BASE = 4  # the lowest frequency band kept: 2**4 documents
+#: Members of a bucket that are compared with as many others in one task.
+BLOCK = 1_000
 STAR_ROUNDS = 2
 #: 64-bit words of a set's parity sketch; sets of at least LONG_SET shingles carry a wide one as well.
 SKETCH, WIDE_SKETCH, LONG_SET = 16, 512, 2048
@@ -271,7 +273,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int
     Texts link when 100 * |intersection| >= percent * |union| of their k-word shingle sets. Equal sets form one node, named by
     their smallest doc_id, before anything is joined. In each round every combination bucket pairs its members with one leader,
     and members already in the leader's component are left out; what remains between different components of a bucket is then
-    compared in full, so no link that changes a component is lost and a group of n near copies costs about n comparisons.
+    compared in full, a large bucket block by block, so no link that changes a component is lost and a group of n near copies
+    costs about n comparisons.
     Candidates pass a parity sketch first, which bounds the symmetric difference from below; the rest is verified on whole sets.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that share a doc_id are one node with several
@@ -304,12 +307,17 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int
         else:
             # the sketches are compared inside the join, so a large bucket emits only what may link
             open_ = stored(open_.join(sketches.select("node", "sketch"), "node"), "open")
-            mate = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("y"))
-            met = open_.join(mate, "sig").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & near & (
+            # a large bucket is cut into blocks by node, and every two of its blocks meet in a task of their own
+            blocks = open_.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            cut = stored(open_.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+            every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            mate = cut.select("sig", F.col("block").alias("right"), every.alias("left"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("y"))
+            met = cut.withColumnRenamed("block", "left").withColumn("right", every).join(mate, ["sig", "left", "right"]).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & near & (
                 (100 + percent) * _apart("sketch", "y") <= (100 - percent) * (F.col("n") + F.col("m"))))
         pairs = met.where((F.col("component") != F.col("other")) & near).select(
             F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = _verified(stored(_close(pairs, sketches, percent).distinct(), "pairs"), docs, k, percent)
+        # repeated doc_ids may repeat a pair, which does no harm; a distinct here would keep a hot leader's join in one task
+        found = _verified(stored(_close(pairs, sketches, percent), "pairs"), docs, k, percent)
         edges = stored(edges.unionByName(found), "links")
         named = components(edges)
         if round_ == STAR_ROUNDS:
