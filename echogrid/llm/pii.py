@@ -31,13 +31,14 @@ PATTERNS = {
 #: Loose forms of the same kinds: the generators of the model.
 LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)*+",
-    "ip": PATTERNS["ip"],
+    "ip": r"(?:\G|(?<![0-9.]))[0-9]{1,3}(?:\x20?(?:\.|[(\[](?:\.|dot)[)\]])\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
-    "phone": r"(?:\+|\(|(?<![0-9.]))[0-9][\x20().0-9-]{7,}[0-9]",
+    # groups of digits that stop before a dotted quad
+    "phone": r"(?:\+|(?<![0-9.+]))(?:[0-9]{1,3}[\x20.-]{0,2}(?=\())?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20.-]{0,2}\([0-9]{1,5}\)|[\x20.-]{1,2}(?![0-9]{1,3}(?:\.[0-9]{1,3}){3})[0-9]{2,8}){1,6}(?![0-9])",
     "secret": PATTERNS["secret"],
 }
 #: A text without a match of the hint has no match of the pattern, loose or not.
-HINTS = {"email": "@|[(\\[]at[)\\]]", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "[0-9]", "secret": "[A-Za-z0-9_]{20}"}
+HINTS = {"email": "@|[(\\[]at[)\\]]", "ip": "[0-9]\\x20?[.(\\[]", "card": "[0-9]", "phone": "[0-9]", "secret": "[A-Za-z0-9_]{20}"}
 CUES = "(?i)(?:token|secret|passw(?:or)?d|api[_ -]?key|bearer|card|phone|tel|mobile|fax|call|mail|contact|address|ip|host|server)"
 SECRET_CUES = "(?i)(?:token|secret|passw(?:or)?d|key|bearer)[\\x20\"'=:]{0,6}$"
 #: Words of a kind shortly before a candidate.
@@ -57,7 +58,10 @@ AREA = r"^\+?(?:[0-9]{1,3}[\x20.-]{0,2})?\((?!(?:19|20)[0-9]{2}\))[0-9]{2,5}\)[\
 NO_PHONE = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|[0-9]{4}([-.])[0-9]{1,2}\1[0-9]{1,2}\b|[0-9]{1,2}([-.])[0-9]{1,2}\2[0-9]{4}\b)"
 CONTEXT = 24
 BLOCK = 64
-FEATURES = ("kind", "n", "digits", "letters", "upper", "seps", "parts", "distinct", "cue", "word_before", "word_after", "sign", "groups", "own_cue", "form", "refuted")
+#: Characters of the parts that a text is cut into before pieces of it are read.
+PART = 2048
+#: Format and context. What the weak labels rest on (a kind's own cue, its form, its sign, its number of digits) is not among them.
+FEATURES = ("kind", "n", "letters", "upper", "seps", "parts", "distinct", "cue", "word_before", "word_after", "groups")
 #: Rows of the trees' fit: at most so many candidates, an equal part by hash for each kind and label. The cuts see all candidates.
 SAMPLE = 20_000
 PRECISION = 0.95
@@ -86,7 +90,7 @@ def valid(kind: str, s: Column) -> Column:
         part = lambda x: F.regexp_replace(x, "^0+", "")
         return F.forall(F.split(s, "\\."), lambda x: (F.length(part(x)) <= 3) & (F.concat(F.lit("0"), F.substring(part(x), 1, 3)).cast("int") <= 255))
     if kind == "card":
-        return F.length(digits).between(14, 19) & luhn(F.substring(digits, 1, 20))
+        return F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False)
     return F.length(digits).between(10, 15)
 
 
@@ -95,28 +99,26 @@ def plain_address(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
 
 
-def evidence(kind: str, s: Column, before: Column) -> tuple[Column, Column, Column, Column]:
-    """Weak label of a candidate, and what it rests on: a cue of the kind before it, its form, and a form that speaks against it.
+def evidence(kind: str, s: Column, before: Column) -> Column:
+    """Weak label of a candidate, from a cue of the kind before it, its form, and forms that speak against it.
 
-    None of it asks whether the base rule of the kind matches: an address counts in its normalised form, a telephone number by
+    None of it is a feature of the trees, and none asks whether the base rule of the kind matches: an address counts in its normalised form, a telephone number by
     its sign, its bracketed area code or a cue before it, a card by its check digit (a short one beside a cue only).
     """
-    cue, size, no = before.rlike(OWN_CUES[kind]), F.length(_digits(s)), F.lit(False)
+    cue, size = before.rlike(OWN_CUES[kind]), F.length(_digits(s))
     if kind == "email":
         plain = plain_address(s)
-        form = plain.rlike(ADDRESS) & plain.rlike(ENDING)
-        return form, cue, form, no
+        return plain.rlike(ADDRESS) & plain.rlike(ENDING)
     if kind == "ip":
-        form = valid("ip", s)
-        return form, cue, form, no
+        plain = F.regexp_replace(s, r"\x20?[(\[]?(?:\.|dot)[)\]]?\x20?", ".")
+        return valid("ip", plain) & (cue | (plain == s))
     if kind == "card":
-        form = luhn(F.substring(_digits(s), 1, 20))
-        return form & (size.between(14, 19) | cue & size.between(12, 19)), cue, form, no
+        form = F.when(size.between(12, 19), luhn(_digits(s))).otherwise(False)
+        return form & ((size >= 14) | cue)
     if kind == "phone":
         form, refuted = s.rlike(AREA), s.rlike(NO_PHONE)
-        return ~refuted & (form | (cue & size.between(8, 15)) | (s.startswith("+") & size.between(10, 15))), cue, form, refuted
-    form = s.rlike("[0-9]")
-    return cue & form, cue, form, no
+        return ~refuted & (form | (cue & size.between(8, 15)) | (s.startswith("+") & size.between(10, 15)))
+    return cue & s.rlike("[0-9]")
 
 
 def running_sums(lengths: Column) -> Column:
@@ -131,14 +133,28 @@ def running_sums(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
 
 
-def matches(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<start, end, found>> of the leftmost matches, offsets in code points, end exclusive."""
+def matches(text: Column, pattern: str, hint: str, context: bool = False) -> Column:
+    """array<struct<start, end, found>> of the leftmost matches, offsets in code points, end exclusive.
+
+    With `context` also `before`, the last CONTEXT characters since the match before it began, and `after`, the next one. All of
+    it comes from the gaps between matches, so the time grows with the text, not with its square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    step = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    heads = F.slice(gaps, F.lit(1), F.size(found))
+    step = F.zip_with(heads, found, lambda g, m: F.length(g) + F.length(m))
     ends = F.zip_with(running_sums(step), step, lambda a, s: a + s)
     spans = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("found")))
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast("array<struct<start: int, end: int, found: string>>"))
+    kind = "start: int, end: int, found: string"
+    if context:
+        earlier = F.slice(F.concat(F.array(F.lit("")), found), F.lit(1), F.size(found))
+        before = F.zip_with(earlier, heads, lambda m, g: F.substring(F.concat(m, g), -CONTEXT, CONTEXT))
+        later = F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), F.size(found))
+        after = F.zip_with(F.slice(gaps, F.lit(2), F.size(found)), later, lambda g, m: F.substring(F.concat(F.substring(g, 1, 1), F.substring(m, 1, 1)), 1, 1))
+        around = F.zip_with(before, after, lambda x, y: F.struct(x.alias("before"), y.alias("after")))
+        spans = F.zip_with(spans, around, lambda m, c: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), c["before"].alias("before"), c["after"].alias("after")))
+        kind += ", before: string, after: string"
+    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(f"array<struct<{kind}>>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -154,17 +170,16 @@ def candidates(text: Column) -> Column:
     """Spans of all loose generators, overlapping as they may, with the features of format and context."""
     def described(n: int, kind: str) -> Column:
         def one(m: Column) -> Column:
-            s, before = m["found"], F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
-            after = F.substring(text, m["end"] + 1, F.lit(1))
+            s, before, after = m["found"], m["before"], m["after"]
             count = lambda p: F.length(F.regexp_replace(s, p, "")).cast("double")
-            good, cue, form, refuted = evidence(kind, s, before)
+            good = evidence(kind, s, before)
             values = {
-                "kind": F.lit(float(n)), "n": F.length(s).cast("double"), "digits": count("[^0-9]"), "letters": count("[^A-Za-z]"), "upper": count("[^A-Z]"), "seps": count("[A-Za-z0-9]"),
-                "parts": count("[^.]"), "distinct": F.size(F.array_distinct(F.split(F.substring(s, 1, 64), ""))).cast("double"), "cue": before.rlike(CUES + "[^\\n]{0,8}$").cast("double"),
-                "word_before": before.rlike("[A-Za-z0-9]$").cast("double"), "word_after": after.rlike("[A-Za-z0-9]").cast("double"), "sign": s.rlike("^\\+").cast("double"),
-                "groups": F.size(F.split(s, "[^0-9]+")).cast("double"), "own_cue": cue.cast("double"), "form": form.cast("double"), "refuted": refuted.cast("double")}
+                "kind": F.lit(float(n)), "n": F.length(s).cast("double"), "letters": count("[^A-Za-z]"), "upper": count("[^A-Z]"), "seps": count("[A-Za-z0-9]"),
+                "parts": count("[^.]"), "distinct": F.size(F.array_distinct(F.split(s, ""))).cast("double"), "cue": before.rlike(CUES + "[^\\n]{0,8}$").cast("double"),
+                "word_before": before.rlike("[A-Za-z0-9]$").cast("double"), "word_after": after.rlike("[A-Za-z0-9]").cast("double"),
+                "groups": F.size(F.split(s, "[^0-9]+")).cast("double")}
             return F.struct(m["start"].alias("start"), F.lit(n).alias("kind_no"), m["end"].alias("end"), good.alias("good"), *[values[f].alias(f) for f in FEATURES])
-        return F.transform(matches(text, LOOSE[kind], HINTS[kind]), one)
+        return F.transform(matches(text, LOOSE[kind], HINTS[kind], context=True), one)
 
     return F.concat(*[described(n, k) for n, k in enumerate(KINDS)])
 
@@ -272,11 +287,29 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     _, every = found_spans(F.coalesce("text", F.lit("")), model)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, s: F.struct(
+    # spans inside lambdas only, so that no column name is taken; blocks, so that long arrays and texts stay cheap
+    block = lambda spans, b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))
+    keep = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"])))).alias("out"))
-    cut = F.aggregate("__spans", state, step)
-    clean = F.concat(F.array_join(cut["out"], ""), F.substring(text, cut["at"] + 1, F.length("text")))
-    out = docs.withColumn("__spans", every).withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans")
+        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to"), F.get(names, s["kind"]).alias("name"))))).alias("out"))
+    zero = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<struct<from: int, to: int, name: string>>").alias("out"))
+
+    def cuts(spans: Column) -> Column:
+        """What lies before each kept span, and its name: struct(at, array of arrays)."""
+        blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<from: int, to: int, name: string>>>").alias("out"))
+        return F.aggregate(blocks, start, lambda acc, b: F.element_at(F.transform(F.array(F.aggregate(block(spans, b), zero(acc["at"]), keep)), lambda one: F.struct(
+            one["at"].alias("at"), F.concat(acc["out"], F.array(one["out"])).alias("out"))), 1))
+
+    def written(parts: Column, cut: Column) -> Column:
+        """The text again: pieces between the cuts, read from parts of PART characters."""
+        first = lambda a: F.floor(a / PART).cast("int")
+        piece = lambda a, b: F.substring(F.array_join(F.slice(parts, first(a) + 1, first(b) - first(a) + 1), ""), a - first(a) * PART + 1, b - a)
+        said = F.array_join(F.transform(F.flatten(cut["out"]), lambda c: F.concat(piece(c["from"], c["to"]), c["name"])), "")
+        return F.concat(said, piece(cut["at"], F.length(text)))
+
+    parts = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PART), F.lit(0))
+    clean = F.element_at(F.transform(F.array(every), lambda spans: F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(F.struct(parts.alias("parts"), cuts(spans).alias("cut"))), lambda x: written(
+        x["parts"], x["cut"])), 1)).otherwise(text)), 1)
+    out = docs.withColumn("text", F.when(text.isNotNull(), clean))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
