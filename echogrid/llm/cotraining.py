@@ -34,6 +34,8 @@ CONFIDENT = 0.97
 #: Documents whose posterior probability of being good is below this go.
 THRESHOLD = 0.5
 LANGS, SOURCES = 8, 32
+#: Bytes of text that a task turns into features at once.
+PIECE = 1_000_000
 LAYOUT = ("log_chars", "no_chars", "word_chars", "symbols", "upper", "shouts", "lines", "repeats", "pipes", "digits")
 PAGE = len(LAYOUT) + LANGS + SOURCES
 # Words of the content view: runs of letters and digits.
@@ -127,7 +129,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
     total = np.zeros((2, DIMENSIONS), dtype=np.int64)
     seen = np.zeros(2, dtype=np.int64)
-    for piece in pieces(batches, "packed", 800_000):
+    for piece in pieces(batches, "packed", PIECE // 2):
         label = piece.column("label").to_numpy().astype(np.int64)
         texts = [unpacker.decompress(b).decode("utf-8", "surrogatepass") for b in piece.column("packed").to_pylist()]
         owner, bucket = _distinct(*content_features(words(texts, LETTERS)), piece.num_rows, DIMENSIONS)
@@ -153,7 +155,7 @@ def _page(piece: pa.RecordBatch) -> np.ndarray:
 
 
 def _viewed(used, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", PIECE):
         row, number = _clear(piece, used.value)
         ends = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
         clear = pa.ListArray.from_arrays(pa.array(ends), pa.array(number.astype(str), pa.string()))
@@ -165,7 +167,7 @@ def _viewed(used, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _scored(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     views: Views = sent.value
     names = ["text", "n_chars", "lang", "source"]
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", PIECE):
         row, number = _clear(piece, views.used)
         content = views.intercepts[0] + np.bincount(row, views.content[number], piece.num_rows)
         page = views.intercepts[1] + _page(piece) @ views.page
@@ -224,13 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     draw = F.xxhash64("doc_id", F.lit(11))
     drawn = reduce(DataFrame.unionByName, [known.where(F.col("label") == k).orderBy(draw, "doc_id").limit(quota[k]).select("doc_id", F.lit(weight[k]).alias("weight")) for k in sorted(n)])
     marked = stored(known.join(drawn, "doc_id", "left"), "marked")
+    # sort-merge joins at every size: what is shuffled then grows in proportion to the documents
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packed, "doc_id long, packed binary")
-    used = clear_features(texts.join(marked.where("part <> 0").select("doc_id", "label"), "doc_id").select("packed", F.col("label").cast("long").alias("label")))
+    used = clear_features(texts.join(marked.where("part <> 0").select("doc_id", "label").hint("merge"), "doc_id").select("packed", F.col("label").cast("long").alias("label")))
     slim = _read(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
         partial(_viewed, spark.sparkContext.broadcast(used)), "doc_id long, clear array<string>, page array<float>")
     vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(used))], inputCol="clear", outputCol="content")
     vectors.setBinary(True).setMinTF(1.0)
-    joined = slim.join(marked, "doc_id", "left").where("label is null or weight is not null")
+    joined = slim.join(marked.hint("merge"), "doc_id", "left").where("label is null or weight is not null")
     viewed = stored(vectors.transform(joined).withColumn("page", array_to_vector(F.col("page").cast("array<double>"))).select("content", "page", "label", "weight", "part"), "views")
     true = viewed.where("weight is not null and part <> 0")
     if true.select("label").distinct().count() < 2:
