@@ -44,7 +44,18 @@ def recipient_fanout(falls: DataFrame, recipients: DataFrame, history: DataFrame
     named = falls.filter("resident_id IS NOT NULL").join(by_resident, "resident_id", "left")
     numbered = named.unionByName(alone).join(by_device, "device_id", "left").withColumn(
         "fall_count", F.coalesce(F.when(F.col("resident_id").isNotNull(), F.col("by_resident")), F.col("by_device"), F.lit(0))).drop("by_resident", "by_device")
-    return o.union_all([numbered.join(shared, "facility_id"), numbered.filter("resident_id IS NOT NULL").join(personal, ["facility_id", "resident_id"])])
+    return o.union_all([salted_join(numbered, shared, ["facility_id"]), salted_join(numbered.filter("resident_id IS NOT NULL"), personal, ["facility_id", "resident_id"])])
+
+
+#: Parts into which the rows of one key are dealt in a salted join.
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Inner join of many rows with few per key: a key's left rows are dealt over `salts` parts, its right rows go to each of them."""
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, [*keys, "__salt"]).drop("__salt")
 
 
 def scope_anti(requested: DataFrame, scoped: DataFrame, key: str) -> DataFrame:

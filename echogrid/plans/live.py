@@ -41,7 +41,9 @@ def s5(spark, sf):
     text = F.to_json(F.struct(
         F.lit(1).alias("schema_version"), F.col("user_id").cast("string").alias("device_id"), F.lit("home-1").alias("tenant_id"), "ts",
         F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("click", "view"), "presence").otherwise("telemetry").alias("kind"), F.col("value").alias("mv_current")))
-    raw = streams.event_stream(spark, sf).select(text.alias("value"))
+    path = scratch_path(spark, "envelopes")
+    t.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(text.alias("value")).write.parquet(path)
+    raw = streams.envelope_stream(spark, "parquet", {"maxFilesPerTrigger": "2"}, path, "value string")
     rows = streams.run_to_table(streams.parse_envelopes(raw, "presence").select("device_id", "seq", "ts"), "envelopes")
     return rows.groupBy(F.col("device_id").cast("bigint").alias("device_id")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
@@ -81,13 +83,28 @@ def s7(spark, sf):
     return sinks.fall_rows(twice, _devices25(spark, sf), t.resident_devices(spark, sf), t.residents(spark, sf), stored).select("event_key", "reject_reason", "resident_name")
 
 
+def _stored_falls(spark, sf):
+    """Paths of the fall and log tables after the event sink has run over four overlapping files in which a third of the falls comes twice."""
+    path = scratch_path(spark, "falls")
+    e = _shuffled_parts(spark, sf)
+    r = e.selectExpr("user_id AS device_id", "event_id AS seq", "cast(ts AS timestamp_ntz) AS local", "ts", "least(value / 100.0D, 1.0D) AS proba_fall").filter("proba_fall > 0.6")
+    r = r.selectExpr("device_id", "seq", "ts", "proba_fall", "if(seq % 50 = 0, 'x', cast(device_id % 25 AS string)) AS tenant", "explode(if(seq % 3 = 0, array(1, 2), array(1))) AS copy").drop("copy")
+    sink = sinks.event_sink(r, "3 days", f"{path}/out", f"{path}/log", f"{path}/ckpt", _devices25(spark, sf), t.resident_devices(spark, sf), t.residents(spark, sf))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return f"{path}/out", f"{path}/log"
+
+
 @query("s7_event_sink_stream", _S7_SQL.replace("WHERE seq % 10 <> 3", ""))
 def s7s(spark, sf):
-    path = scratch_path(spark, "falls")
-    s = _result_stream(spark, sf).filter("proba_fall > 0.6").selectExpr("device_id", "seq", "cast(ts AS timestamp_ntz) AS ts", "proba_fall", "if(seq % 50 = 0, 'x', cast(device_id % 25 AS string)) AS tenant")
-    write = sinks.store_falls(f"{path}/out", _devices25(spark, sf), t.resident_devices(spark, sf), t.residents(spark, sf))
-    s.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("event_key", "reject_reason", "resident_name")
+    return spark.read.parquet(_stored_falls(spark, sf)[0]).select("event_key", "reject_reason", "resident_name")
+
+
+@query("s7_fall_log_stream", with_views("inference devices resident_devices residents", PRIMARY_SQL + f""", {_DEVICES25}, f AS ({_FALLS_IN})
+SELECT f.device_id || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || ':' || seq AS event_key, 'FALL' AS level, COALESCE(pr.resident_name, d.name) || ' (' || COALESCE(pr.resident_room, d.room) || ') 낙상 감지 · 신뢰도 ' || CAST(CAST(CAST(proba_fall AS VARCHAR) AS DECIMAL(30, 20)) AS DECIMAL(10, 3)) AS msg,
+  pr.resident_id, f.device_id, d.facility_id FROM f JOIN d25 d ON d.device_id = f.device_id LEFT JOIN pr ON pr.device_id = f.device_id WHERE f.tenant = CAST(d.facility_id AS VARCHAR)"""))
+def s7l(spark, sf):
+    """One FALL log row with every accepted fall, written with it under the same batch id."""
+    return spark.read.parquet(_stored_falls(spark, sf)[1]).select("event_key", "level", "msg", "resident_id", "device_id", "facility_id")
 
 
 @query("m1_stream_dedup", "SELECT user_id AS device_id, event_id AS seq FROM events")
@@ -190,6 +207,24 @@ def m3s(spark, sf):
     return p.select("device_id", "seq", rnd("mv_current").alias("mv_current"), "state", rnd("last_activity_at", 3).alias("last_activity_at"), "just_changed")
 
 
+_PRESENCE_ROWS = _PRESENCE[:_PRESENCE.rindex("SELECT device_id, seq,")] + f"""
+SELECT epoch_us(p.ts) AS ts_us, 'home-1' AS tenant_id, CAST(wk.device_id AS VARCHAR) AS device_id, state, {r6("m")} AS mv_current, ((wk.seq * 37) % 100) / 40.0::DOUBLE AS wander_current, 1.6::DOUBLE AS mv_threshold, 0.5::DOUBLE AS wander_baseline,
+  2.0::DOUBLE AS wander_ratio_threshold, {r6("((wk.seq * 37) % 100) / 40.0::DOUBLE / 0.5")} AS wander_ratio, COALESCE(now - since >= 7200, false) AS wander_confirmed, {r6("last", 3)} AS last_activity_at, {r6("now - last", 3)} AS seconds_since_activity, chg AS just_changed
+FROM wk JOIN packets p ON p.device_id = wk.device_id AND p.seq = wk.seq"""
+
+
+@query("s6_presence_samples", _PRESENCE_ROWS)
+def s6r(spark, sf):
+    """All 14 columns of every presence sample, written by the append sink of the presence stream."""
+    path = scratch_path(spark, "samples")
+    stream = streams.presence_stream(_ticks(_result_stream(spark, sf)), **_SETTINGS)
+    rows = sinks.presence_rows(stream, F.lit("home-1"), *[_SETTINGS[k] for k in ("mv_threshold", "wander_baseline", "ratio_threshold")])
+    sinks.presence_append(rows, f"{path}/out", f"{path}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.schema(rows.schema).parquet(f"{path}/out")
+    digits = {"mv_current": 6, "wander_ratio": 6, "last_activity_at": 3, "seconds_since_activity": 3}
+    return back.select(F.unix_micros("ts").alias("ts_us"), *[rnd(c, digits[c]).alias(c) if c in digits else F.col(c) for c in back.columns if c not in ("ts", "date")])
+
+
 _MACHINE = {"threshold": 1.5, "min_duration_s": 3600.0, "merge_gap_s": 14_400.0, "max_duration_s": 36_000.0, "cooldown_s": 28_800.0}
 _MOTION = with_views("packets", f"""
 , tk AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq) AS n FROM ({_TICKS})),
@@ -341,6 +376,50 @@ def m15(spark, sf):
     return state.late_rows(p, ["device_id"], ["ts", "seq"], "t", 86_400.0, _chunk()).groupBy("device_id").agg(F.count_if("late").alias("late"), F.count("*").alias("rows"))
 
 
+_ARRIVAL = """
+, a AS (SELECT device_id, seq, t_us - (CASE WHEN seq % 11 = 0 THEN 200000000000 ELSE 0 END) AS t, (seq - min(seq) OVER ()) * 6 // (max(seq) OVER () - min(seq) OVER () + 1) AS part FROM packets),
+h AS (SELECT part, max(max(t)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM a GROUP BY part)
+SELECT device_id, seq, COALESCE(hi - t > 86400000000, false) AS late FROM a JOIN h USING (part)"""
+
+
+@query("m15_late_table", with_views("packets", _ARRIVAL))
+def m15t(spark, sf):
+    """Rows of six files in order of arrival, dealt to a kept and a late table; together they are the input."""
+    path, p = scratch_path(spark, "arrivals"), t.packets(spark, sf)
+    ends = p.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    shifted = p.selectExpr("device_id", "seq", "timestamp_micros(t_us - if(seq % 11 = 0, 200000000000, 0)) AS ts")
+    for k in range(6):
+        shifted.where(F.expr(f"(seq - {ends['a']}) * 6 div {ends['b'] - ends['a'] + 1} = {k}")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(shifted.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    kept, late = streams.run_late_split(stream, "ts", 86_400.0)
+    return kept.select("device_id", "seq", F.lit(False).alias("late")).unionByName(late.select("device_id", "seq", F.lit(True).alias("late")))
+
+
+_KINDS, _REASONS = ["presence", "signal", "telemetry", "ack"], ["invalid_json", "unknown_field", "missing_seq", "bad_kind", "bad_value"]
+
+
+@query("a23_counter_stream", """
+WITH r AS (SELECT event_id % 10 AS bad, CASE event_type WHEN 'click' THEN 'presence' WHEN 'view' THEN 'signal' WHEN 'error' THEN 'telemetry' ELSE 'ack' END AS kind FROM events),
+c AS (SELECT *, CASE bad WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'unknown_field' WHEN 2 THEN 'missing_seq' WHEN 3 THEN 'bad_kind' WHEN 4 THEN 'bad_value' END AS reason FROM r),
+n AS (SELECT 'forwarded' AS counter, count(*) FILTER (reason IS NULL) AS n FROM c UNION ALL SELECT 'rejected', count(*) FILTER (reason IS NOT NULL) FROM c
+  UNION ALL SELECT 'kind_' || kind, count(*) FROM c WHERE reason IS NULL GROUP BY kind UNION ALL SELECT 'reason_' || reason, count(*) FROM c WHERE reason IS NOT NULL GROUP BY reason)
+SELECT * FROM n""")
+def a23s(spark, sf):
+    """What a listener adds up from the metrics of an envelope stream: forwarded, rejected, by kind and by reason."""
+    from echogrid.operators import quality as q
+
+    path = scratch_path(spark, "envelopes")
+    kind = "CASE event_type WHEN 'click' THEN 'presence' WHEN 'view' THEN 'signal' WHEN 'error' THEN 'telemetry' ELSE 'ack' END"
+    t.table(spark, sf, "events").selectExpr("event_id", "event_id % 10 AS bad", f"{kind} AS kind", "value").selectExpr(
+        "case bad when 0 then '{oops' when 1 then concat('{\"seq\":', event_id, ',\"kind\":\"', kind, '\",\"p\":0.5,\"extra\":1}') when 2 then concat('{\"kind\":\"', kind, '\",\"p\":0.5}') "
+        "when 3 then concat('{\"seq\":', event_id, ',\"kind\":\"other\",\"p\":0.5}') when 4 then concat('{\"seq\":', event_id, ',\"kind\":\"', kind, '\",\"p\":1.5}') "
+        "else concat('{\"seq\":', event_id, ',\"kind\":\"', kind, '\",\"p\":', value / 1000.0D, '}') end AS value").repartition(3).write.parquet(path)
+    raw = streams.envelope_stream(spark, "parquet", {"maxFilesPerTrigger": "1"}, path, "value string").withColumnRenamed("value", "text")
+    checked = q.schema_reject(raw, "text", "seq long, kind string, p double", ["seq", "kind"], {"bad_kind": F.col("value.kind").isin(*_KINDS), "bad_value": F.col("value.p").between(0.0, 1.0)})
+    totals = streams.run_counted(streams.counted(checked, F.col("value.kind"), F.col("reject_reason"), _KINDS, _REASONS))
+    return spark.createDataFrame(sorted(totals.items()), "counter string, n bigint")
+
+
 _SESSIONS = """, g AS (SELECT device_id, t_us, t_us - lag(t_us) OVER (PARTITION BY device_id ORDER BY seq) AS gap FROM packets),
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY t_us) AS sid FROM g),
 z AS (SELECT device_id, min(t_us) AS a, max(t_us) + 14400000000 AS b, count(*) AS rows FROM s GROUP BY device_id, sid)"""

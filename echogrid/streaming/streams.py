@@ -150,10 +150,12 @@ class _OrderedProcessor(StatefulProcessor):
 def machine_stream(stream: DataFrame, key: str, order: list[str], inputs: list[str], make: Callable[[], Machine], outputs: str, delay: str, ordered: bool, idle_s: int, time: str = "ts") -> DataFrame:
     """The stream with a machine's outputs on every row; batches run through the machine as arrays.
 
-    `delay` sets the watermark of `time`; rows behind it do not reach the machine (see `late_split`). With `ordered`, rows wait
+    `delay` sets the watermark of `time` (made from the clock where it is missing); rows behind it do not reach the machine (see `late_split`). With `ordered`, rows wait
     until the watermark has passed them and then run in order, whatever file brought them; without, they run as they come, sorted
     inside a micro-batch. A device that is silent for `idle_s` of event time loses its state.
     """
+    if time not in stream.columns:
+        stream = stream.withColumn(time, F.timestamp_micros((F.col(inputs[0]) * 1e6).cast("bigint")))
     source = stream.withWatermark(time, delay)
     more = StructType.fromDDL(outputs)
     kept = [key, *[c for c in source.columns if c != key]]
@@ -196,8 +198,9 @@ def motion_fall_stream(ticks: DataFrame, delay: str = "0 seconds", ordered: bool
 
 
 def throttle_stream(reports: DataFrame, interval_s: float, delay: str = "0 seconds", ordered: bool = False, idle_s: int = IDLE_S) -> DataFrame:
-    """`written` per report; `reports` has device_id, seq, ts, now, online."""
-    return machine_stream(reports, "device_id", ["now", "seq"], ["now", "online"], partial(steps.Throttle, interval_s=interval_s), "written boolean", delay, ordered, idle_s)
+    """device_id, seq, `written` per report; `reports` has device_id, seq, now, online (and ts)."""
+    out = machine_stream(reports, "device_id", ["now", "seq"], ["now", "online"], partial(steps.Throttle, interval_s=interval_s), "written boolean", delay, ordered, idle_s)
+    return out.select("device_id", "seq", "written")
 
 
 def late_split(path: str, time: str, delay_s: float):
@@ -228,7 +231,7 @@ def run_late_split(stream: DataFrame, time: str, delay_s: float) -> tuple[DataFr
         nothing.write.parquet(f"{path}/{name}/batch=-1")
     spark.createDataFrame([], "newest timestamp").write.parquet(f"{path}/newest/batch=-1")
     stream.writeStream.foreachBatch(late_split(path, time, delay_s)).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    kept, late = (spark.read.schema(stream.schema).parquet(f"{path}/{name}") for name in ("kept", "late"))
+    kept, late = (spark.read.schema(stream.schema).parquet(f"{path}/{name}").select(*stream.columns) for name in ("kept", "late"))
     return kept, late
 
 
