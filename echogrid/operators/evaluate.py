@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from echogrid.operators import aggregates as a
 from echogrid.operators import ordered as o
+from echogrid.session import materialize
 
 
 def fold_of(group: Column, folds: int) -> Column:
@@ -52,17 +53,32 @@ def group_probe(df: DataFrame, features: str, label: str, group: str, folds: int
     return per.withColumn("balanced_accuracy", F.avg("recall").over(Window.partitionBy(F.lit(0))))  # one row per class
 
 
-def score_arms(rows: DataFrame, arms: DataFrame, row_id: str, features: str, label: str, arm_names: Sequence[str], replicate: int = 0) -> DataFrame:
-    """Fit on each arm's training rows, score its test rows: AUROC, AP, sizes and the smallest readable AUROC step."""
+def score_arms(rows: DataFrame, arms: DataFrame, row_id: str, features: str, label: str) -> DataFrame:
+    """Fit on the training rows of every arm and replicate and score its test files.
+
+    A file's score is the mean over its rows. Per arm and replicate: AUROC, AP, sizes, the smallest readable AUROC step, and the
+    balanced accuracy at one half and at the best threshold. Arms and replicates are few by design; a pair whose training rows show
+    one class only has no scores and keeps its row with nulls.
+    """
+    units = arms.select("arm", "replicate").distinct().orderBy("arm", "replicate")
     out = []
-    for name in arm_names:
-        side = lambda s: rows.join(arms.filter((F.col("arm") == name) & (F.col("replicate") == replicate) & (F.col("side") == s)).select(row_id), row_id)
-        scored = fit_logistic(side("train"), features, label).transform(side("test"))
-        scored = scored.select(F.lit(name).alias("arm"), vector_to_array("probability")[1].alias("score"), F.col(label).cast("int").alias("y"))
-        out.append(scored)
-    both = o.union_all(out)
-    auc = a.auroc_ap(both, ["arm"], "score", "y")
-    return auc.withColumn("auc_granularity", 1.0 / F.greatest(F.col("positives") * F.col("negatives"), F.lit(1)))
+    for u in units.collect():
+        side = lambda s: rows.join(arms.filter((F.col("arm") == u["arm"]) & (F.col("replicate") == u["replicate"]) & (F.col("side") == s)).select(row_id), row_id)  # noqa: B023
+        train = side("train")
+        if train.select(label).distinct().count() < 2:
+            continue
+        scored = fit_logistic(train, features, label).transform(side("test"))
+        out.append(scored.select(F.lit(u["arm"]).alias("arm"), F.lit(u["replicate"]).alias("replicate"), row_id, vector_to_array("probability")[1].alias("score"), F.col(label).cast("int").alias("y")))
+    if not out:
+        empty = ", ".join(f"{c} {k}" for c, k in (("positives", "long"), ("negatives", "long"), ("auroc", "double"), ("ap", "double"), ("auc_granularity", "double"), ("balanced_accuracy", "double"), ("best_balanced_accuracy", "double")))
+        return units.join(rows.sparkSession.createDataFrame([], f"arm string, replicate int, {empty}"), ["arm", "replicate"], "left")
+    keys = ["arm", "replicate"]
+    files = materialize(o.union_all(out).groupBy(*keys, row_id).agg(F.avg("score").alias("score"), F.max("y").alias("y")))
+    auc = a.auroc_ap(files, keys, "score", "y").withColumn("auc_granularity", 1.0 / F.greatest(F.col("positives") * F.col("negatives"), F.lit(1)))
+    rate = lambda y: F.avg(F.when(F.col("y") == y, ((F.col("score") >= 0.5).cast("int") == y).cast("double")))
+    plain = files.groupBy(*keys).agg(((rate(1) + rate(0)) / 2).alias("balanced_accuracy"))
+    best = a.oracle_threshold(files, keys, "score", "y").select(*keys, F.col("balanced_accuracy").alias("best_balanced_accuracy"))
+    return units.join(auc, keys, "left").join(plain, keys, "left").join(best, keys, "left")
 
 
 def block_pca_design(df: DataFrame, blocks: dict[str, str], k: int) -> DataFrame:

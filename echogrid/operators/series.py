@@ -8,14 +8,18 @@ Filters that by definition stay inside one packed window work on its array and n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echogrid.functions import scalars as fx
 from echogrid.operators import ordered as o
 from echogrid.operators import topk
+from echogrid.operators.transducer import whole_groups
 from echogrid.session import materialize
 
 WRAP = 1 << 32
@@ -296,23 +300,57 @@ def crop_around_peak(df: DataFrame, keys, index: str, value: str, length: int, r
     return cells.join(df, [*keys, index]).drop("__n")
 
 
+def _settled(distance: int, kept: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One round of suppression over whole (series, chunk) groups: own peaks with `state` 0 open or 1 kept; suppressed ones go.
+
+    A peak that is higher than every open one within the distance is kept and suppresses them. Peaks of the neighbouring chunks
+    are seen but not decided, so whatever is decided holds for the whole series.
+    """
+    for batch, starts in whole_groups(batches, "__group"):
+        at, height = batch.column("__at").to_numpy(), batch.column("__height").to_numpy()
+        own, state = batch.column("__own").to_numpy(zero_copy_only=False), batch.column("state").to_numpy().copy()
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        gone, near = np.zeros(len(at), dtype=bool), []
+        for shift in range(1, min(distance, len(at))):
+            close = (group[shift:] == group[:-shift]) & (at[shift:] - at[:-shift] < distance)
+            if not close.any():
+                break
+            near.append((shift, close, height[shift:] >= height[:-shift]))  # of equal heights the later one wins
+        while True:
+            for shift, close, _ in near:
+                gone[shift:] |= close & (state[:-shift] == 1)
+                gone[:-shift] |= close & (state[shift:] == 1)
+            open_ = (state == 0) & ~gone
+            best = open_ & own
+            for shift, close, later in near:
+                both = close & open_[shift:] & open_[:-shift]
+                best[:-shift] &= ~(both & later)
+                best[shift:] &= ~(both & ~later)
+            if not best.any():
+                break
+            state[best] = 1
+        gone &= state == 0
+        left = batch.filter(pa.array(own & ~gone))
+        yield pa.RecordBatch.from_arrays([*[left.column(c) for c in kept], pa.array(state[own & ~gone])], [*kept, "state"])
+
+
 def local_peaks(df: DataFrame, keys, index: str, value: str, distance: int, chunk_rows: int = 65_536) -> DataFrame:
-    """Local maxima at least mean + sd high and `distance` apart, the higher peak winning.
+    """Local maxima at least mean + sd high and `distance` apart, the higher peak winning, of equal ones the later.
 
-    Peaks further apart than `distance` cannot compete, so suppression runs inside islands of close peaks only.
+    Suppression runs in rounds over chunks of the series, each seeing the peaks within `distance` of its borders; a round settles
+    all that does not hang on an open peak of a neighbouring chunk, so few rounds are needed and no series sits in one task.
     """
+    keys = list(keys)
     stats = df.groupBy(*keys).agg((F.avg(value) + F.stddev_pop(value)).alias("__level"))
     spread, w = o.with_halo(df, keys, index, 1, 1, chunk_rows)
     near = spread.withColumns({"__l": F.lag(value).over(w), "__r": F.lead(value).over(w)})
-    tops = o.own_rows(near.filter((F.col(value) > F.col("__l")) & (F.col(value) > F.col("__r")))).join(stats, list(keys)).filter(F.col(value) >= F.col("__level"))
-    tops = o.sorted_chunks(tops.select(*keys, index, value), keys, [index])
-    gaps = o.prefix_scan(tops, keys, [index], {"__p": ("prev", index)})
-    isl = o.prefix_scan(materialize(gaps.withColumn("__new", (F.col("__p").isNull() | (F.col(index) - F.col("__p") >= distance)).cast("int"))), keys, [index], {"__island": ("sum", "__new")})
-    packed = isl.groupBy(*keys, "__island").agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(index).cast("int").alias("i"))), asc=False).alias("c"))
-    keep = F.aggregate(
-        F.transform("c", lambda p: p["i"]), F.array().cast("array<int>"),
-        lambda acc, i: F.when(F.exists(acc, lambda k: F.abs(k - i) < distance), acc).otherwise(F.concat(acc, F.array(i))))
-    return packed.select(*keys, F.explode(keep).alias("peak"))
+    tops = o.own_rows(near.filter((F.col(value) > F.col("__l")) & (F.col(value) > F.col("__r")))).join(stats, keys).filter(F.col(value) >= F.col("__level"))
+    peaks = materialize(tops.select(*keys, F.col(index).cast("long").alias("__at"), F.col(value).cast("double").alias("__height"), F.lit(0).cast("long").alias("state")))
+    while peaks.filter("state = 0").limit(1).count():
+        spread, _ = o.with_halo(peaks, keys, "__at", distance, distance, chunk_rows)
+        dealt = spread.withColumn("__group", F.xxhash64(*keys, o.CHUNK)).repartition(*keys, o.CHUNK).sortWithinPartitions("__group", "__at")
+        peaks = materialize(dealt.mapInArrow(partial(_settled, distance, [*keys, "__at", "__height"]), peaks.schema))
+    return peaks.select(*keys, F.col("__at").cast("int").alias("peak"))
 
 
 def peak_segments(df: DataFrame, keys, channel: str, index: str, value: str, half: int, distance: int = 10, before: int = 20, after: int = 80) -> DataFrame:

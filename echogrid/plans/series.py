@@ -216,6 +216,18 @@ def w22(spark, sf):
     return t.file_index(spark, sf).select("recording_id", "trial", w.trial_block(F.col("trial")).alias("block"))
 
 
-@query("w23_peak_segments")
+_PEAKS = _PAD + """,
+v AS (SELECT recording_id, ch, i, greatest(v, 0) AS v FROM mv WHERE i BETWEEN 0 AND 63),
+q AS (SELECT recording_id, ch, CASE WHEN avg(v) < 1e-10 THEN 0.0 ELSE max(v) / avg(v) END AS q FROM v GROUP BY ALL), l AS (SELECT recording_id, quantile_cont(q, 0.75) AS lim FROM q GROUP BY 1),
+a AS (SELECT v.recording_id, i, avg(v) AS m FROM v JOIN q ON q.recording_id = v.recording_id AND q.ch = v.ch JOIN l ON l.recording_id = v.recording_id WHERE q > lim GROUP BY ALL),
+n AS (SELECT *, lag(m) OVER w AS lo, lead(m) OVER w AS hi, avg(m) OVER g + stddev_pop(m) OVER g AS level, max(i) OVER g AS last FROM a WINDOW w AS (PARTITION BY recording_id ORDER BY i), g AS (PARTITION BY recording_id)),
+c AS (SELECT recording_id, i, last, row_number() OVER (PARTITION BY recording_id ORDER BY m DESC, i DESC) AS rn FROM n WHERE m > lo AND m > hi AND m >= level),
+r(recording_id, rn, kept) AS (SELECT recording_id, rn, [i] FROM c WHERE rn = 1
+  UNION ALL SELECT r.recording_id, c.rn, CASE WHEN len(list_filter(r.kept, lambda k: abs(k - c.i) < 10)) = 0 THEN list_append(r.kept, c.i) ELSE r.kept END FROM r JOIN c ON c.recording_id = r.recording_id AND c.rn = r.rn + 1),
+f AS (SELECT recording_id, unnest(arg_max(kept, rn)) AS peak FROM r GROUP BY 1), e AS (SELECT recording_id, max(i) AS last FROM a GROUP BY 1)
+SELECT f.recording_id, CAST(peak AS INT) AS peak, CAST(greatest(0, peak - 5) AS INT) AS a, CAST(least(last, peak + 20) AS INT) AS b FROM f JOIN e ON e.recording_id = f.recording_id"""
+
+
+@query("w23_peak_segments", with_views("samples", _PEAKS, recursive=True))
 def w23(spark, sf):
     return w.peak_segments(t.samples(spark, sf), ["recording_id"], "ch", "i", "x", 4, 10, 5, 20)

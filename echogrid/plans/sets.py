@@ -10,13 +10,14 @@ from echogrid.sources.tables import r6, rnd, with_views
 
 
 @query("u1_stitch_phases", with_views("samples", f"""
-, p AS (SELECT recording_id // 5 AS session, recording_id % 5 AS phase, i, x FROM samples WHERE ch = 0 AND i < 40 + recording_id % 5 * 4),
-z AS (SELECT session, phase, max(i) + 1 AS n FROM p GROUP BY ALL), o AS (SELECT *, COALESCE(sum(n) OVER (PARTITION BY session ORDER BY phase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM z)
-SELECT p.session, p.phase, p.i, st + p.i AS pos, {r6("(st + p.i) / 320.0::DOUBLE")} AS t, {r6("x")} AS x FROM p JOIN o ON o.session = p.session AND o.phase = p.phase"""))
+, p AS (SELECT recording_id // 5 AS session, ch, recording_id % 5 AS phase, i, x FROM samples),
+z AS (SELECT session, ch, phase, max(i) + 1 AS n FROM p GROUP BY ALL), o AS (SELECT *, COALESCE(sum(n) OVER (PARTITION BY session, ch ORDER BY phase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM z)
+SELECT p.session, p.ch, p.phase, p.i, st + p.i AS pos, {r6("(st + p.i) / 320.0::DOUBLE")} AS t, {r6("x")} AS x FROM p JOIN o ON o.session = p.session AND o.ch = p.ch AND o.phase = p.phase"""))
 def u1(spark, sf):
-    p = t.samples(spark, sf).filter("ch = 0 AND i < 40 + recording_id % 5 * 4").selectExpr("recording_id div 5 AS session", "recording_id % 5 AS phase", "i", "x")
-    rows, _ = s.stitch_phases(p, ["session"], "phase", "i", 320.0)
-    return rows.select("session", "phase", "i", "pos", rnd("t").alias("t"), rnd("x").alias("x"))
+    """Whole phases of every channel, one after the other on the session's clock."""
+    p = t.samples(spark, sf).selectExpr("recording_id div 5 AS session", "ch", "recording_id % 5 AS phase", "i", "x")
+    rows, _ = s.stitch_phases(p, ["session", "ch"], "phase", "i", 320.0)
+    return rows.select("session", "ch", "phase", "i", "pos", rnd("t").alias("t"), rnd("x").alias("x"))
 
 
 @query("u2_order_parts", with_views("packets", """

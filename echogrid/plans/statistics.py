@@ -185,8 +185,9 @@ def q13(spark, sf):
 def q14(spark, sf):
     _, arms = _arms(spark, sf)
     d = _design(spark, sf).select(F.col("row_id").alias("recording_id"), "features", "y")
-    a = e.score_arms(d, arms, "recording_id", "features", "y", ["IN", "CROSS", "LOEO_full"])
-    return a.select("arm", "positives", "negatives", rnd("auroc").alias("auroc"), rnd("ap").alias("ap"), rnd("auc_granularity", 9).alias("auc_granularity"))
+    a = e.score_arms(d, arms, "recording_id", "features", "y")
+    names = ("auroc", "ap", "balanced_accuracy", "best_balanced_accuracy")
+    return a.select("arm", "replicate", "positives", "negatives", *[rnd(c).alias(c) for c in names], rnd("auc_granularity", 9).alias("auc_granularity"))
 
 
 @query("q15_cluster_bootstrap")
