@@ -120,7 +120,15 @@ def q8(spark, sf):
     return p.select("metric", "group_a", "group_b", "n_a", "n_b", rnd("delta").alias("delta"), rnd("ks_d").alias("ks_d"), rnd("w_std").alias("w_std"), "median_a", "median_b")
 
 
-@query("q8_pairwise_divergence_p")
+def _ks_sql(metric):
+    return f"SELECT '{metric}' AS metric, ga, gb, d, na, nb FROM (WITH {_V}{_PAIRS.replace('qty', metric)} SELECT ks.ga, ks.gb, d, na, nb FROM ks JOIN u ON u.ga = ks.ga AND u.gb = ks.gb)"
+
+
+@query("q8_pairwise_divergence_p", f"""
+WITH k AS ({_ks_sql("qty")} UNION ALL {_ks_sql("cost")}), l AS (SELECT metric, ga, gb, d * d * na * nb / (na + nb)::DOUBLE AS lam FROM k),
+p AS (SELECT metric, ga, gb, greatest(0.0, least(1.0, 2 * sum(CASE WHEN n % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * n * n * lam)))) AS p FROM l, range(1, 101) r(n) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY p, metric || '|' || ga || '|' || gb) AS rank, count(*) OVER () AS m FROM p)
+SELECT metric, ga AS group_a, gb AS group_b, {r6("p")} AS ks_p, {r6("least(1.0, min(p * m / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")} AS ks_q FROM o""")
 def q8p(spark, sf):
     p = s.pairwise_divergence(_values(spark, sf), ["qty", "cost"], "grp", GROUPS)
     return p.select("metric", "group_a", "group_b", rnd("ks_p").alias("ks_p"), rnd("ks_q").alias("ks_q"))
