@@ -306,10 +306,9 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int
             met = open_.join(lead, "sig").select("node", "n", "component", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"), F.col("lead.component").alias("other"))
         else:
             # the sketches are compared inside the join, so a large bucket emits only what may link
-            open_ = stored(open_.join(sketches.select("node", "sketch"), "node"), "open")
             # a large bucket is cut into blocks by node, and every two of its blocks meet in a task of their own
             blocks = open_.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            cut = stored(open_.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+            cut = stored(open_.join(blocks, "sig").join(sketches.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
             every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
             mate = cut.select("sig", F.col("block").alias("right"), every.alias("left"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("y"))
             met = cut.withColumnRenamed("block", "left").withColumn("right", every).join(mate, ["sig", "left", "right"]).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & near & (
