@@ -38,7 +38,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     grouped = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     texts = docs.where(grouped).select(F.col("doc_id").cast("long").alias(doc), digest.alias(sha))
-    several = stored(texts.groupBy(doc).agg(F.min(sha).alias("low"), F.max(sha).alias("high")).where("low <> high").select(doc, "low"), "several")
+    repeated = texts.groupBy(doc).agg(F.count("*").alias("n")).where("n > 1").select(doc)
+    several = stored(texts.join(repeated, doc, "left_semi").groupBy(doc).agg(F.min(sha).alias("low"), F.max(sha).alias("high")).where("low <> high").select(doc, "low"), "several")
     nodes, shared = docs.withColumn(node, F.col("doc_id").cast("long")), several.limit(1).count() > 0
     if shared:
         # the first text of a doc_id keeps it as node, its others get numbers below all doc_ids
