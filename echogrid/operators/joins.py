@@ -27,15 +27,20 @@ def attach_resident(events: DataFrame, devices: DataFrame, links: DataFrame, res
     return events.join(known, "device_id", "left")
 
 
-def recipient_fanout(falls: DataFrame, recipients: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def recipient_fanout(falls: DataFrame, recipients: DataFrame, history: DataFrame | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
     """Falls x recipients of the same scope: shared recipients plus those of the fall's resident.
 
     Split into two equi-joins so that no residual OR keeps a whole scope in one join bucket: shared recipients join
     on the scope, personal ones on (scope, resident).  The running count comes from a pre-aggregated table.
+    With `totals` (aggregates of `recipient_id` and `topic` by name), recipients are summed up per scope before the join,
+    and a fall has one row for the shared and one for the personal ones in place of one per recipient.
     """
     reachable = recipients.filter("enabled AND push AND topic IS NOT NULL").select("recipient_id", "facility_id", F.col("resident_id").alias("for_resident"), "topic")
     shared = reachable.filter("for_resident IS NULL").drop("for_resident")
     personal = reachable.filter("for_resident IS NOT NULL").withColumnRenamed("for_resident", "resident_id")
+    if totals is not None:
+        summed = [c.alias(name) for name, c in totals.items()]
+        shared, personal = shared.groupBy("facility_id").agg(*summed), personal.groupBy("facility_id", "resident_id").agg(*summed)
     counted = history if history is not None else falls
     by_resident = counted.filter("resident_id IS NOT NULL").groupBy("resident_id").agg(F.count("*").alias("by_resident"))
     by_device = counted.groupBy("device_id").agg(F.count("*").alias("by_device"))
