@@ -27,7 +27,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))
     total = counts.agg(F.sum("__c").alias("__n"), F.count("*").alias("__k")).withColumn("__one", F.lit(1))
     w = counts.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)  # one row per class: no shuffle of all rows onto few labels
 
 
 def fit_logistic(train: DataFrame, features: str, label: str, reg: float = 1.0):
@@ -67,13 +67,15 @@ def score_arms(rows: DataFrame, arms: DataFrame, row_id: str, features: str, lab
         train = side("train")
         if train.select(label).distinct().count() < 2:
             continue
-        scored = fit_logistic(train, features, label).transform(side("test"))
-        out.append(scored.select(F.lit(u["arm"]).alias("arm"), F.lit(u["replicate"]).alias("replicate"), row_id, vector_to_array("probability")[1].alias("score"), F.col(label).cast("int").alias("y")))
+        scored = fit_logistic(train, features, label).transform(side("test")).select(row_id, vector_to_array("probability")[1].alias("score"), F.col(label).cast("int").alias("y"))
+        # written here: a union of these joins has equal partitioning, and one of its tasks would read a part of every join
+        means = materialize(scored.groupBy(row_id).agg(F.avg("score").alias("score"), F.max("y").alias("y")))
+        out.append(means.select(F.lit(u["arm"]).alias("arm"), F.lit(u["replicate"]).alias("replicate"), *means.columns))
     if not out:
         empty = ", ".join(f"{c} {k}" for c, k in (("positives", "long"), ("negatives", "long"), ("auroc", "double"), ("ap", "double"), ("auc_granularity", "double"), ("balanced_accuracy", "double"), ("best_balanced_accuracy", "double")))
         return units.join(rows.sparkSession.createDataFrame([], f"arm string, replicate int, {empty}"), ["arm", "replicate"], "left")
     keys = ["arm", "replicate"]
-    files = materialize(o.union_all(out).groupBy(*keys, row_id).agg(F.avg("score").alias("score"), F.max("y").alias("y")))
+    files = materialize(o.union_all(out).repartition(*keys, row_id))
     auc = a.auroc_ap(files, keys, "score", "y").withColumn("auc_granularity", 1.0 / F.greatest(F.col("positives") * F.col("negatives"), F.lit(1)))
     rate = lambda y: F.avg(F.when(F.col("y") == y, ((F.col("score") >= 0.5).cast("int") == y).cast("double")))
     plain = files.groupBy(*keys).agg(((rate(1) + rate(0)) / 2).alias("balanced_accuracy"))

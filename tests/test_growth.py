@@ -17,3 +17,18 @@ def test_fanout_totals_equal_totals_of_the_pairs(spark):
     want = rows(pairs.groupBy("id").agg(F.count("*"), F.min("recipient_id"), F.max("fall_count")))
     assert rows(summed.groupBy("id").agg(F.sum("n"), F.min("first"), F.max("fall_count"))) == want and len(want) > 20
     assert summed.count() <= 2 * falls.count() < pairs.count()
+
+
+def test_arms_are_joined_one_by_one(spark, monkeypatch):
+    """No written plan unites the joins of several arms: its tasks would read a part of each. Rows of a file repeat."""
+    from pyspark.ml.linalg import Vectors
+
+    from echogrid.operators import evaluate
+
+    plans, write = [], evaluate.materialize
+    monkeypatch.setattr(evaluate, "materialize", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df))[1])
+    rows = spark.createDataFrame([(k % 24, Vectors.dense([float(k % 2) + k / 99, float(k % 5)]), k % 2) for k in range(48)], ["file", "x", "y"])
+    arms = spark.createDataFrame([(a, 0, "train" if f % 3 else "test", f) for a in "AB" for f in range(24)], "arm string, replicate int, side string, file long")
+    got = evaluate.score_arms(rows, arms, "file", "x", "y").collect()
+    assert [(r.arm, r.positives, r.negatives) for r in got] == [("A", 4, 4), ("B", 4, 4)] and got[0][2:] == got[1][2:]
+    assert plans and not any("Union" in p and "Join" in p for p in plans)
