@@ -241,12 +241,13 @@ def js_divergence(df: DataFrame, group: str, category: str, groups: Sequence) ->
 
 def sample_size_curve(df: DataFrame, group: str, value: str, row_id: str, pair: tuple, sizes: Sequence[int], replicates: int, seed: int = 0) -> DataFrame:
     """KS D of hash-ordered subsamples of each size: mean and 5 / 95 percentiles over replicates."""
-    from echogrid.operators.topk import bounded_top
+    from echogrid.operators.topk import bounded_top, low_hashes
 
     both = df.filter(F.col(group).isin(list(pair))).select(group, value, row_id)
     reps = both.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     hashed = reps.withColumn("__h", fx.stable_order(seed, F.col("replicate"), F.col(row_id)))
-    drawn = bounded_top(hashed, ["replicate", group], [F.col("__h"), F.col(row_id)], max(sizes))
+    near = low_hashes(hashed, ["replicate", group], "__h", max(sizes))
+    drawn = bounded_top(near, ["replicate", group], [F.col("__h"), F.col(row_id)], max(sizes))
     sized = drawn.withColumn("size", F.explode(F.filter(F.array(*[F.lit(k) for k in sizes]), lambda k: F.col("rn") <= k)))
     d = pair_statistics(sized, ["replicate", "size"], group, value, list(pair)).filter("ks_d IS NOT NULL AND n_a = size AND n_b = size")
     # one row per (replicate, size): bounded by the chosen replicate count

@@ -30,6 +30,20 @@ def bounded_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("rn", F.row_number().over(final)).filter(F.col("rn") <= n)
 
 
+def low_hashes(df: DataFrame, keys: Sequence[str], digest: str, n: int, digits: int = 3) -> DataFrame:
+    """Rows that may be among the first n of their key by a hexadecimal digest; keys are few.
+
+    Rows are counted by key and leading digits, and those behind the digits at which a key reaches n are dropped. A key with
+    fewer rows keeps all.
+    """
+    lead = F.substring(digest, 1, digits)
+    counts = df.groupBy(*keys, lead.alias("__lead")).agg(F.count("*").alias("__c"))
+    total = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__lead"))  # at most 16 ** digits rows a key
+    cuts = counts.withColumn("__t", total).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(F.when(F.col("__t") >= n, F.col("__lead"))).alias("__cut"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(F.broadcast(cuts), same).filter(F.col("__cut").isNull() | (lead <= F.col("__cut"))).select(*df.columns)
+
+
 def topk_streams(q: DataFrame, keys: Sequence[str], channel: str, k: int, threshold: bool = True, allowed: Sequence[int] | None = None) -> DataFrame:
     """Channels by q descending (ties: lower channel), share of the top-k sum, kept when share >= 1/k else the best one.
 

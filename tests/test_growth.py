@@ -32,3 +32,37 @@ def test_arms_are_joined_one_by_one(spark, monkeypatch):
     got = evaluate.score_arms(rows, arms, "file", "x", "y").collect()
     assert [(r.arm, r.positives, r.negatives) for r in got] == [("A", 4, 4), ("B", 4, 4)] and got[0][2:] == got[1][2:]
     assert plans and not any("Union" in p and "Join" in p for p in plans)
+
+
+def test_low_hashes_keep_the_first_rows_of_a_key(spark):
+    """Few rows pass, the first ones among them; keys are null, rows repeat, and a small key keeps all."""
+    from echogrid.functions.scalars import stable_order
+    from echogrid.operators.topk import bounded_top, low_hashes
+
+    rows = [(None if k % 3 == 0 else "a", k) for k in range(9000)] + [("b", 1), ("b", 1), (None, 3), (None, 3)]
+    df = spark.createDataFrame(rows, "g string, row long").withColumn("h", stable_order(0, F.col("row")))
+    near = low_hashes(df, ["g"], "h", 20)
+    first = lambda d: sorted(map(str, bounded_top(d, ["g"], [F.col("h"), F.col("row")], 20).collect()))
+    assert first(near) == first(df) and len(first(df)) == 42
+    assert near.columns == df.columns and near.count() < 100
+
+
+def test_batches_are_cut_whatever_arrow_sends(spark):
+    """No call sees more than the set windows, every row comes back once, and lengths may differ."""
+    from echogrid.operators.signals import BATCH_ROWS, batched
+
+    df = spark.range(3000, numPartitions=1).selectExpr("id", "transform(sequence(1, 4 + cast(id % 2 as int)), k -> cast(id * k as double)) AS x")
+    got = batched(df, "x", lambda x: {"n": [len(x)] * len(x), "s": list(x.sum(-1))}, "id long, n int, s double").collect()
+    assert sorted((r.id, r.s) for r in got) == [(k, float(k * (15 if k % 2 else 10))) for k in range(3000)]
+    assert max(r.n for r in got) <= BATCH_ROWS
+
+
+def test_upsert_needs_no_sort(spark):
+    """All columns of the newest row, nulls included, by hashing."""
+    from echogrid.sources.recordings import upsert_cache
+
+    stored = spark.createDataFrame([(1, 5, 1.0, 7), (2, 1, 2.0, 8), (None, 3, 3.0, 9), (4, None, 4.0, 1)], "k long, version long, v double, w int")
+    incoming = spark.createDataFrame([(1, 6, None, 70), (2, 0, 20.0, 80), (None, 4, 30.0, None), (4, None, 40.0, 2), (5, 1, 5.0, 3)], "k long, version long, v double, w int")
+    out = upsert_cache(stored, incoming, ["k"], "version")
+    assert sorted(map(tuple, out.select("k", "v", "w").collect()), key=repr) == sorted([(1, None, 70), (2, 2.0, 8), (None, 30.0, None), (4, None, None), (5, 5.0, 3)], key=repr)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
