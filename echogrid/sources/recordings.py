@@ -197,10 +197,14 @@ def manifest(df: DataFrame, keys: Sequence[str], checks: dict[str, Column], stat
 
 
 def upsert_cache(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Last write per key wins: one combinable aggregate over both sides."""
+    """Last write per key wins: one combinable aggregate over both sides.
+
+    Columns go through `max_by` one by one, all by the same comparisons and so from the same row: fixed-width ones are then
+    hashed, while a struct of them would have to be sorted before and behind the shuffle.
+    """
     rest = [c for c in stored.columns if c not in keys]
     both = stored.unionByName(incoming)
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    return both.groupBy(*keys).agg(*[F.max_by(c, version).alias(c) for c in rest])
 
 
 def replace_long(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
