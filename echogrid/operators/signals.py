@@ -126,13 +126,15 @@ def pack_channels(df: DataFrame, keys: Sequence[str], channel: str, values: str)
     return df.repartition(parts, *keys).groupBy(*keys).agg(F.transform(rows, lambda r: r["x"]).alias("channels"))
 
 
+#: Windows that `batched` computes at once: what a worker holds depends on it, not on the rows of an Arrow batch.
+BATCH_ROWS = 256
+
+
 def batched(df: DataFrame, column: str, fn: Callable[[np.ndarray], dict[str, list]], schema: str) -> DataFrame:
-    """Apply `fn` to Arrow batches of equal-length arrays; `fn` gets the stacked array and returns new columns."""
+    """Apply `fn` to slices of Arrow batches of equal-length arrays; `fn` gets the stacked array and returns new columns."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if pdf.empty:
-                continue
+        for pdf in (whole.iloc[a : a + BATCH_ROWS] for whole in frames for a in range(0, len(whole), BATCH_ROWS)):
             sizes = pdf[column].map(len)
             for _, part in pdf.groupby(sizes, sort=False):
                 stacked = np.stack([np.stack(v) if isinstance(v[0], (list, np.ndarray)) else np.asarray(v, float) for v in part[column]]).astype(float)
