@@ -66,3 +66,32 @@ def test_upsert_needs_no_sort(spark):
     out = upsert_cache(stored, incoming, ["k"], "version")
     assert sorted(map(tuple, out.select("k", "v", "w").collect()), key=repr) == sorted([(1, None, 70), (2, 2.0, 8), (None, 30.0, None), (4, None, None), (5, 5.0, 3)], key=repr)
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stale_timer_of_a_device_does_no_work():
+    """Rows wait for the watermark and run in order once; a timer set before later rows came touches no state."""
+    from functools import partial
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from echogrid.streaming import steps
+    from echogrid.streaming.streams import _OrderedProcessor, _Rows
+
+    kept, made, timers = {}, partial(steps.FallVote, threshold=0.5, cooldown_s=3.0), []
+    value = SimpleNamespace(get=lambda: kept.get("s"), update=lambda s: kept.update(s=s), clear=kept.clear)
+    rows = pd.DataFrame({"id": 1, "seq": np.arange(40), "ts": pd.to_datetime(np.arange(40), unit="s"), "now": np.arange(40.0), "p": np.arange(40) % 7 / 7})
+    outputs = ["state", "fall_count", "new_fall"]
+    machine = _OrderedProcessor(_Rows(made, ["now", "seq"], ["now", "p"], list(rows), outputs, "ts"), 10_000)
+    machine.init(SimpleNamespace(getValueState=lambda *_: value, registerTimer=timers.append))
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    mixed = rows.sample(frac=1, random_state=1)
+    got = [*machine.handleInputRows((1,), iter([mixed[:15], mixed[15:25]]), at(0)), *machine.handleInputRows((1,), iter([mixed[25:]]), at(9_500))]
+    before, calls = kept["s"], len(timers)
+    assert not list(machine.handleExpiredTimer((1,), at(9_500), None)) and kept["s"] is before and len(timers) == calls
+    got += machine.handleExpiredTimer((1,), at(39_000), None)
+    whole, want = pd.concat(got), made().run(rows["now"].to_numpy(), rows["p"].to_numpy())
+    assert whole["seq"].tolist() == list(range(40)) and list(whole.columns) == [*rows, *outputs]
+    assert all((whole[c].to_numpy() == want[c]).all() for c in outputs)
+    assert not list(machine.handleExpiredTimer((1,), at(60_000), None)) and not kept
