@@ -121,16 +121,26 @@ def evidence(kind: str, s: Column, before: Column) -> Column:
     return cue & s.rlike("[0-9]")
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)`, with `value` worked out a single time however often `use` reads it: a variable of a higher-order function is bound, an expression repeated."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running_sums(lengths: Column) -> Column:
     """Sum of all earlier values, for every value of an array; in blocks, so that long arrays stay cheap."""
     add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
     zero = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
-    cut = F.transform(blocks, lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
-    sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
-    starts = F.aggregate(sums, zero(F.lit(0)), add)["out"]
-    inner = F.zip_with(cut, starts, lambda c, at: F.aggregate(c, zero(at), add)["out"])
-    return F.when(F.size(lengths) > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
+
+    def summed(lengths: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+        return once(F.transform(blocks, lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))), inner)
+
+    def inner(cut: Column) -> Column:
+        sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+        starts = F.aggregate(sums, zero(F.lit(0)), add)["out"]
+        return F.flatten(F.zip_with(cut, starts, lambda c, at: F.aggregate(c, zero(at), add)["out"]))
+
+    return once(lengths, lambda x: F.when(F.size(x) > 0, summed(x)).otherwise(F.array().cast("array<int>")))
 
 
 def matches(text: Column, pattern: str, hint: str, context: bool = False) -> Column:
@@ -139,22 +149,26 @@ def matches(text: Column, pattern: str, hint: str, context: bool = False) -> Col
     With `context` also `before`, the last CONTEXT characters since the match before it began, and `after`, the next one. All of
     it comes from the gaps between matches, so the time grows with the text, not with its square.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    heads = F.slice(gaps, F.lit(1), F.size(found))
-    step = F.zip_with(heads, found, lambda g, m: F.length(g) + F.length(m))
-    ends = F.zip_with(running_sums(step), step, lambda a, s: a + s)
-    spans = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("found")))
-    kind = "start: int, end: int, found: string"
-    if context:
-        earlier = F.slice(F.concat(F.array(F.lit("")), found), F.lit(1), F.size(found))
-        before = F.zip_with(earlier, heads, lambda m, g: F.substring(F.concat(m, g), -CONTEXT, CONTEXT))
-        later = F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), F.size(found))
-        after = F.zip_with(F.slice(gaps, F.lit(2), F.size(found)), later, lambda g, m: F.substring(F.concat(F.substring(g, 1, 1), F.substring(m, 1, 1)), 1, 1))
-        around = F.zip_with(before, after, lambda x, y: F.struct(x.alias("before"), y.alias("after")))
-        spans = F.zip_with(spans, around, lambda m, c: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), c["before"].alias("before"), c["after"].alias("after")))
-        kind += ", before: string, after: string"
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(f"array<struct<{kind}>>"))
+    kind = "start: int, end: int, found: string" + (", before: string, after: string" if context else "")
+    none = F.array().cast(f"array<struct<{kind}>>")
+
+    def spans(found: Column, gaps: Column, heads: Column) -> Column:
+        step = F.zip_with(heads, found, lambda g, m: F.length(g) + F.length(m))
+        ends = once(step, lambda step: F.zip_with(running_sums(step), step, lambda a, s: a + s))
+        out = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("found")))
+        if context:
+            earlier = F.slice(F.concat(F.array(F.lit("")), found), F.lit(1), F.size(found))
+            before = F.zip_with(earlier, heads, lambda m, g: F.substring(F.concat(m, g), -CONTEXT, CONTEXT))
+            later = F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), F.size(found))
+            after = F.zip_with(F.slice(gaps, F.lit(2), F.size(found)), later, lambda g, m: F.substring(F.concat(F.substring(g, 1, 1), F.substring(m, 1, 1)), 1, 1))
+            around = F.zip_with(before, after, lambda x, y: F.struct(x.alias("before"), y.alias("after")))
+            out = F.zip_with(out, around, lambda m, c: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), c["before"].alias("before"), c["after"].alias("after")))
+        return out
+
+    # the gaps are cut out only where something was found
+    cut = lambda found: once(F.split(text, pattern, -1), lambda gaps: once(F.slice(gaps, F.lit(1), F.size(found)), lambda heads: spans(found, gaps, heads)))
+    every = once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, cut(found)).otherwise(none))
+    return F.when(text.rlike(hint), every).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -253,11 +267,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     return Model(trees, cuts)
 
 
-def found_spans(text: Column, model: Model) -> tuple[Column, Column]:
-    """(base spans, all spans): the model's spans join the base ones, equal spans of a kind once."""
-    base = base_spans(text)
+def found_spans(text: Column, model: Model) -> Column:
+    """struct<base, every>: the base spans, and all spans: the model's join the base ones, equal spans of a kind once."""
     added = F.transform(F.filter(candidates(text), model.chosen), lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind"), c["end"].alias("end")))
-    return base, F.array_sort(F.array_distinct(F.concat(base, added)))
+    return once(base_spans(text), lambda base: F.struct(base.alias("base"), F.array_sort(F.array_distinct(F.concat(base, added))).alias("every")))
 
 
 def _written(spans: Column) -> Column:
@@ -271,11 +284,10 @@ def pii_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Repeated rows and null doc_ids stay rows of their own. An empty table gives no rows.
     """
     model = model or fit(docs)
-    base, every = found_spans(F.col("text"), model)
-    spanned = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", base.alias("base"), every.alias("every"))
-    number = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+    spanned = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", found_spans(F.col("text"), model).alias("found"))
+    number = lambda n: F.size(F.filter("found.base", lambda s: s["kind"] == n)).cast("long")
     counts = [number(n).alias(f"n_{k}") for n, k in enumerate(BASE)]
-    return spanned.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("every")).alias("spans"))
+    return spanned.select("doc_id", *counts, F.sha2(_written(F.col("found.base")), 256).alias("base_sha256"), _written(F.col("found.every")).alias("spans"))
 
 
 def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -284,7 +296,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Null texts stay null. A column n_chars, where there is one, follows the new text.
     """
     model = model or fit(docs)
-    _, every = found_spans(F.coalesce("text", F.lit("")), model)
+    every = found_spans(F.coalesce("text", F.lit("")), model)["every"]
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
     # spans inside lambdas only, so that no column name is taken; blocks, so that long arrays and texts stay cheap

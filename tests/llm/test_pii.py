@@ -99,6 +99,17 @@ def test_planted_data_is_found_and_plain_numbers_stay(spark, planted):
     assert all(any(text[int(a):int(b)] == parts[0] for kind, a, b in spans[k] if kind == "phone") for k, text, parts in planted if k % 9 == 4)
 
 
+@pytest.mark.parametrize("made", [pii.pii_report, pii.redacted])
+def test_each_pattern_is_read_once_a_text(spark, capfd, made):
+    model = pii.Model([(1.0, ["Predict: 1.0"])], dict.fromkeys(range(len(pii.KINDS)), 0.5))
+    docs = spark.createDataFrame([(1, "call +1 555-867-5309", 0, 0, 0)], KIND).repartition(1)
+    made(docs, model).explain(True)
+    plan = capfd.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    # four base forms and five loose ones, each with one extraction; the parts of a text to redact are one more
+    assert plan.count("regexp_extract_all(") == len(pii.BASE) + len(pii.KINDS) + (made is pii.redacted)
+    assert all(plan.count(f", {pii.PATTERNS[k]}, -1)") == 1 and plan.count(f", {pii.LOOSE[k]}, -1)") == 1 for k in pii.BASE)
+
+
 def test_time_grows_with_the_text(spark):
     model = pii.Model([(1.0, ["Predict: 1.0"])], dict.fromkeys(range(len(pii.KINDS)), 0.5))
     unit = "call 555-867-5309 or a@b.org at 10.1.2.3, card 4111 1111 1111 1111; "
