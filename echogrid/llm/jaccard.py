@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.llm.components import components
-from echogrid.llm.tables import long_list, pieces, stored, strings
+from echogrid.llm.tables import BATCH_BYTES, bounded, long_list, pieces, stored, strings
 from echogrid.llm.words import mix, shingles, words
 
 WORDS_PER_SHINGLE = 3
@@ -31,6 +31,8 @@ TIERS = ((1, 1), (32, 2), (1024, 3))
 #: At most so many frequent shingles are told apart by frequency; all others rank as rare. Only speed depends on it.
 FREQUENT_LIMIT = 1 << 20
 SLOTS = 1 << 24
+#: Hashes that a task holds while it counts.
+COUNTED = 2_000_000
 BAND_BASE = 4  # the lowest frequency band kept: 2**4 documents
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 1_000
@@ -42,28 +44,42 @@ COUNT_BITS = np.uint64(16)  # counting uses the upper 48 bits of a hash
 
 # -- document frequencies ------------------------------------------------------------------------------------------------
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    fresh = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    return np.flatnonzero(fresh)
+
+
 def _count_rows(cells: int, hashes: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    value, count = np.unique(hashes >> COUNT_BITS, return_counts=True)
+    """Gaps and counts of the distinct values, by cell. `hashes` is sorted in place: np.unique would hold several copies."""
+    hashes >>= COUNT_BITS
+    hashes.sort()
+    first = _firsts(hashes)
+    value, count = hashes[first], np.diff(first, append=len(hashes)).astype(np.uint32)
+    del first
     cell = ((value >> np.uint64(16)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(cell, prepend=-1, append=cells + 1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         gaps = np.diff(value[a:b], prepend=np.uint64(0))
-        yield int(cell[a]), zlib.compress(gaps.tobytes(), 1), zlib.compress(count[a:b].astype(np.uint32).tobytes(), 1)
+        yield int(cell[a]), zlib.compress(gaps.tobytes(), 1), zlib.compress(count[a:b].tobytes(), 1)
 
 
 def _counts(cells: int, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush():
-        rows = list(_count_rows(cells, np.concatenate(held))) if size else []
+        hashes = np.concatenate(held) if size else np.zeros(0, np.uint64)
+        held.clear()
+        rows = list(_count_rows(cells, hashes)) if size else []
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["cell", "gaps", "counts"])
 
     for piece in pieces(batches, "text"):
         held.append(shingles(words(strings(piece, "text")), k)[1])
         size += len(held[-1])
-        if size > 4_000_000:
+        if size > COUNTED:
             yield flush()
-            held, size = [], 0
+            size = 0
     yield flush()
 
 
@@ -77,21 +93,26 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, values, counts = None, [], []
 
     def merge():
-        value = np.concatenate(values)
-        unique, back = np.unique(value, return_inverse=True)
-        return unique, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+        value, count = np.concatenate(values), np.concatenate(counts)
+        values.clear()
+        counts.clear()
+        order = np.argsort(value)
+        value, count = value[order], count[order]
+        del order
+        first = _firsts(value)
+        return value[first], np.add.reduceat(count, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
     for batch in batches:
         for cell, gaps, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if cell != current and values:
                 yield done(*merge())
-                values, counts = [], []
             current = cell
             values.append(np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint64)))
             counts.append(np.frombuffer(zlib.decompress(count), np.uint32))
             if sum(map(len, values)) > 8_000_000:
                 value, total = merge()
-                values, counts = [value], [total]
+                values.append(value)
+                counts.append(total)
     if values:
         yield done(*merge())
 
@@ -201,7 +222,7 @@ def _parity(owner: np.ndarray, value: np.ndarray, n: int, words_: int) -> np.nda
 
 def _sign(k: int, percent: int, table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands = table.value
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", BATCH_BYTES // 2):
         owner, value = shingles(words(strings(piece, "text")), k)
         n = piece.num_rows
         sizes = np.bincount(owner, minlength=n).astype(np.int64)
@@ -281,7 +302,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int
     texts. Rows with a null doc_id cannot name a component: they keep their n_shingles, get a null component_id and link nothing.
     An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spark.sparkContext.broadcast(frequency_bands(docs, k))
     base = stored(docs.mapInArrow(partial(_sign, k, percent, table), "doc_id long, n_shingles long, digest binary, n_rare long, sketch array<long>, wide array<long>, sigs array<long>"), "signed")

@@ -11,10 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from echogrid.session import scratch_path, tune
 
 BATCH_BYTES = 2_000_000
+#: Spark's own batches on their way to Python hold two pieces; by rows alone they would grow with the length of the texts.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", f"{2 * BATCH_BYTES}b"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """`spark`, tuned, with Arrow batches of bounded size."""
+    if spark.conf.get(ARROW_BYTES[0], None) != ARROW_BYTES[1]:
+        spark.conf.set(*ARROW_BYTES)
+    return tune(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -180,3 +181,37 @@ def test_private_stage_keeps_rows_and_columns(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert out.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     assert got[1].text == "mail [EMAIL] now" and got[1].n_chars == 16 and got[2].text is None
+
+
+def test_counting_holds_few_copies_of_the_hashes():
+    import tracemalloc
+    import zlib
+
+    from echogrid.llm import jaccard
+
+    hashes = np.random.default_rng(1).integers(0, 2**63, 1_000_000).astype(np.uint64)
+    hashes[::2] = hashes[0]
+    value, count = np.unique(hashes >> jaccard.COUNT_BITS, return_counts=True)
+    size = hashes.nbytes
+    tracemalloc.start()
+    rows = list(jaccard._count_rows(64, hashes))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * size, most / size
+    assert np.array_equal(np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(r[1]), np.uint64)) for r in rows]), value)
+    assert np.array_equal(np.concatenate([np.frombuffer(zlib.decompress(r[2]), np.uint32) for r in rows]), count)
+
+
+def test_batches_of_long_texts_are_bounded(spark, tmp_path):
+    import pyarrow as pa
+
+    from echogrid.llm.tables import BATCH_BYTES, table
+
+    spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    found = table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 300 and max(r.size for r in found) <= 3 * BATCH_BYTES
