@@ -59,7 +59,9 @@ SPACE_MARK = "▁"
 #: Runs of spaces with the word behind them, or a line feed: no piece of the vocabulary reaches over such a border.
 PRE_TOKEN = re.compile(f"\n|[ {SPACE_MARK}]*[^ {SPACE_MARK}\n]+|[ {SPACE_MARK}]+")
 #: A pre-token is frequent when it is at least one in so many of all pre-tokens, so there are at most so many of them.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
+#: Rows held to be sorted together: the longer the run, the more neighbours share and the smaller the shuffle.
+RUN, RUN_CHARS = 300_000, 8_000_000
 LIMIT = 4096
 
 
@@ -111,19 +113,31 @@ def _spread(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     known: dict[str, int] = frequent.value
     row = TaskContext.get().partitionId() << 40
-    for piece in pieces(batches, "text", 8_000_000):
-        out = []
+    out: list[tuple[str, int, int]] = []
+
+    def flush() -> pa.RecordBatch:
+        out.sort()
+        batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in out], pa.int64()), pa.array([r[0] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], ["row", "token", "freq"])
+        out.clear()
+        return batch
+
+    size = 0
+    for piece in pieces(batches, "text"):
         for doc_id, raw in zip(piece.column("doc_id").to_pylist(), strings(piece, "text"), strict=True):
             row += 1
             total = 0
             for token, n in _pre_tokens(raw).items():
                 if (each := known.get(token)) is None:
                     out.append((token, row, n))
+                    size += len(token)
                 else:
                     total += n * each
             out.append((f"\n{'' if doc_id is None else doc_id}\n{len(raw.encode())}", row, total))
-        out.sort()
-        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in out], pa.int64()), pa.array([r[0] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], ["row", "token", "freq"])
+            if len(out) > RUN or size > RUN_CHARS:
+                yield flush()
+                size = 0
+    if out:
+        yield flush()
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, frequent: int = FREQUENT) -> DataFrame:
@@ -140,7 +154,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, frequent: int
     counted = stored(distinct.mapInArrow(partial(_count, model), "token string, freq long, n long"), "counted")
     total = counted.agg(F.sum("freq")).first()[0] or 0
     top = F.col("freq") * frequent >= F.lit(total)
-    known = spark.sparkContext.broadcast({r["token"]: r["n"] for r in counted.where(top).select("token", "n").collect()})
+    sums = counted.where(top).select("token", "n").toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(sums.column("token").to_pylist(), sums.column("n").to_pylist(), strict=True)))
     rows = texts.mapInArrow(partial(_spread, known), "row long, token string, freq long")
     joined = rows.join(counted.where(~top).select("token", "n"), "token", "left")
     head = F.max(F.when(F.col("token").startswith("\n") & (F.col("token") != "\n"), F.col("token"))).alias("head")

@@ -125,6 +125,27 @@ def test_token_counts_equal_the_library(docs, texts):
             assert (r.n_tokens, r.n_bytes) == (len(library.encode(texts[r.doc_id] or "")), len((texts[r.doc_id] or "").encode()))
 
 
+def test_rare_pre_tokens_leave_in_long_sorted_runs(monkeypatch):
+    """Runs reach over Arrow batches, so neighbours in the shuffle share their beginnings; no row is lost at their ends."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(words(40, k)) for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([t])], ["doc_id", "text"]) for k, t in enumerate(texts)]
+    spread = lambda: [b.to_pylist() for b in tokens._spread(SimpleNamespace(value={" w1": 2}), iter(batches))]
+    runs = spread()
+    assert len(runs) == 1 and [r["token"] for r in runs[0]] == sorted(r["token"] for r in runs[0])
+    want = Counter((k, t, n) for k, text in enumerate(texts, 1) for t, n in Counter(" " + w for w in text.split()).items() if t != " w1")
+    assert Counter((r["row"], r["token"], r["freq"]) for r in runs[0] if r["token"][0] != "\n") == want
+    assert {r["row"]: r["freq"] for r in runs[0] if r["token"][0] == "\n"} == {k: 2 * text.split().count("w1") for k, text in enumerate(texts, 1)}
+    monkeypatch.setattr(tokens, "RUN", 100)
+    key = lambda r: (r["row"], r["token"])
+    assert len(short := spread()) > 10 and sorted((r for run in short for r in run), key=key) == sorted(runs[0], key=key)
+
+
 def test_quality_rules_and_posterior(docs, spark):
     junk = [(k, " ".join(f"w{k}x{i}###" for i in range(80)), None, None, None) for k in range(100, 110)]
     clean = [(k, " ".join(words(200, k, 5000)) + ".", None, None, None) for k in range(200, 260)]
