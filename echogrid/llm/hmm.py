@@ -29,9 +29,9 @@ FREQUENT = 1 << 19
 SMOOTH = 0.1
 #: Share of the class frequencies mixed into each state's emissions, and of a uniform row into its transitions, for scoring.
 MIXED = 0.02
-SEGMENT = 512
+SEGMENT = 1024
 #: Segments worked on at once.
-GROUP = 2048
+GROUP = 1024
 #: Steps between two rescalings: probabilities of 1e-12 each stay far above the smallest double.
 RESCALE = 8
 SEED = 11
@@ -72,28 +72,46 @@ class Lexicon(NamedTuple):
 # -- one batch of texts ---------------------------------------------------------------------------------------------------
 
 
-def _endings(w: Words) -> np.ndarray:
-    """Ending class of each word, from its last three bytes."""
-    value = np.zeros(len(w.starts), dtype=np.uint64)
-    for back in (1, 2, 3):
-        at = w.ends - back
-        value = value * np.uint64(257) + np.where(at >= w.starts, w.bytes[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-    return (mix(value) % np.uint64(ENDINGS)).astype(np.int64)
+class Tokens(NamedTuple):
+    """Hashes of all tokens, each text's words and its end, where each one lies in `words` (-1: an end), and tokens per text."""
 
-
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and ending class of all tokens, each text's words and its end, and the tokens of each text."""
+    hashes: np.ndarray
+    word: np.ndarray
+    counts: np.ndarray
+    words: Words
+
+    def endings(self, chosen: np.ndarray) -> np.ndarray:
+        """Ending class of the chosen tokens, from their last three bytes; 0 for an end."""
+        w, word = self.words, self.word[chosen]
+        inside = word >= 0
+        start, end = w.starts[word[inside]], w.ends[word[inside]]
+        value = np.zeros(len(start), dtype=np.uint64)
+        for back in (1, 2, 3):
+            at = end - back
+            value = value * np.uint64(257) + np.where(at >= start, w.bytes[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+        out = np.zeros(len(word), dtype=np.int64)
+        out[inside] = mix(value) % np.uint64(ENDINGS)
+        return out
+
+
+def _tokens(texts: list[str]) -> Tokens:
     w = words(texts)
     at = np.cumsum(w.counts)
-    return np.insert(w.hashes, at, END_HASH), np.insert(_endings(w), at, 0), w.counts + 1
+    return Tokens(np.insert(w.hashes, at, END_HASH), np.insert(np.arange(len(w.hashes)), at, -1), w.counts + 1, w)
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts the hashes, and where each distinct one begins in it."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    return order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(hashes) else np.zeros(0, np.int64)
 
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes, ending, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(hashes, kind="stable")
-    hashes, ending, n = hashes[order], ending[order], n[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], ending[first], np.add.reduceat(n, first) if len(first) else n
+    order, first = _distinct(hashes)
+    n = n[order]
+    return hashes[order[first]], ending[order[first]], np.add.reduceat(n, first) if len(first) else n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +122,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ending), pa.array(n)], ["word", "ending", "n"])
 
     for piece in pieces(batches, "text"):
-        hashes, ending, _ = _tokens(strings(piece, "text"))
-        held.append(_merge([(hashes, ending, np.ones(len(hashes), dtype=np.int64))]))
+        tokens = _tokens(strings(piece, "text"))
+        order, first = _distinct(tokens.hashes)
+        held.append((tokens.hashes[order[first]], tokens.endings(order[first]), np.diff(np.append(first, len(order)))))
         size += len(held[-1][0])
         if size > 1_000_000:
             held = [_merge(held)]
@@ -117,6 +136,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _finder(known: np.ndarray):
+    """Places of hashes among ascending known ones, len(known) for others: a table by leading bits, then a few steps."""
+    bits = len(known).bit_length() + 1
+    shift = np.uint64(64 - bits)
+    begin = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << shift)
+    behind = np.append(known, np.uint64(2**64 - 1))
+
+    def find(hashes: np.ndarray) -> np.ndarray:
+        at = begin[hashes >> shift]
+        less = np.flatnonzero(behind[at] < hashes)
+        while len(less):
+            at[less] += 1
+            less = less[behind[at[less]] < hashes[less]]
+        at[behind[at] != hashes] = len(known)
+        return at
+
+    return find
+
+
 def _encode(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document: classes of all tokens, what frequent words add to the scores, and the other words to be joined."""
     from pyspark import TaskContext
@@ -124,30 +162,34 @@ def _encode(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     known: Lexicon = sent.value
     row = TaskContext.get().partitionId() << 40
     spread = np.log10(known.ending_total + SMOOTH * (known.ending_words + 1))
-    logs = np.log10(known.counts + SMOOTH)
+    # by frequent word, and one place more for all others: share of the base, share of the score within the class, class
+    logs = np.append(np.log10(known.counts + SMOOTH), 0.0)
+    frequent = np.append(known.classes, 0)
+    within = np.where(frequent >= known.own, logs - spread[np.maximum(frequent - known.own, 0)], 0.0)
+    within[-1] = 0.0
+    find = _finder(known.hashes)
     for piece in pieces(batches, "text"):
-        hashes, ending, counts = _tokens(strings(piece, "text"))
-        n, owner = piece.num_rows, np.repeat(np.arange(piece.num_rows), counts)
-        at = np.minimum(np.searchsorted(known.hashes, hashes), max(len(known.hashes) - 1, 0))
-        found = known.hashes[at] == hashes if len(known.hashes) else np.zeros(len(hashes), dtype=bool)
-        classes = known.own + ending
-        classes[found] = known.classes[at[found]]
-        shared = classes >= known.own
-        log = np.zeros(len(hashes))
-        log[found] = logs[at[found]]
-        base = np.bincount(owner, log, n).astype(float)
-        inner = np.bincount(owner[shared], log[shared] - spread[classes[shared] - known.own], n).astype(float)
-        rare = ~found
-        order = np.lexsort((hashes[rare], owner[rare]))
-        word, whose = hashes[rare][order], owner[rare][order]
+        tokens = _tokens(strings(piece, "text"))
+        hashes, counts, n = tokens.hashes, tokens.counts, piece.num_rows
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        at = find(hashes)
+        rare = np.flatnonzero(at == len(known.hashes))
+        whose = np.searchsorted(offsets, rare, side="right") - 1
+        ending = tokens.endings(rare)
+        states = frequent[at].astype(np.uint16)
+        states[rare] = known.own + ending
+        log = within[at]
+        log[rare] = -spread[ending]
+        base, inner = np.add.reduceat(logs[at], offsets[:-1]), np.add.reduceat(log, offsets[:-1])
+        order = np.lexsort((hashes[rare], whose))
+        n_found = counts - np.bincount(whose, minlength=n)
+        word, whose = hashes[rare][order], whose[order]
         first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (whose[1:] != whose[:-1]))) if len(word) else np.zeros(0, np.int64)
         tf = np.diff(np.append(first, len(word)))
         per = np.bincount(whose[first], minlength=n)
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        states = classes.astype(np.uint16)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(row, row + n)), piece.column("doc_id"), piece.column("held_out"), pa.array(counts.astype(np.int64)),
-            pa.array(np.bincount(owner[found], minlength=n).astype(np.int64)), pa.array(base), pa.array(inner),
+            pa.array(n_found.astype(np.int64)), pa.array(base), pa.array(inner),
             pa.array([states[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
             long_list(word[first], per), long_list(tf.astype(np.int64), per)],
             ["row", "doc_id", "held_out", "n_tokens", "n_found", "base", "inner", "states", "words", "tf"])
@@ -191,25 +233,29 @@ def _groups(size: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield group, len(group) - np.searchsorted(size[group][::-1], np.arange(steps), side="right")
 
 
-def _emissions(s: Segments, model: Model, group: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of a group by step, and the probability of each under every state."""
-    token = s.tokens[np.minimum(s.begin[group] + np.arange(steps)[:, None], len(s.tokens) - 1)]
-    return token, np.take(model.emit, token, axis=0)
+def _emissions(s: Segments, model: Model, group: np.ndarray, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each step begins, the tokens of a group step by step without gaps, and the probability of each under every state."""
+    begin = s.begin[group]
+    token = s.tokens[np.concatenate([begin[:n] + t for t, n in enumerate(running)])]
+    return np.cumsum(running) - running, token, np.take(model.emit, token, axis=0)
 
 
 def _products(s: Segments, model: Model, chosen: np.ndarray) -> np.ndarray:
     """Matrix of each chosen segment: distribution before its first token -> state weights at its last, up to a factor."""
-    k = len(model.start)
+    k, ones = len(model.start), np.ones(len(model.start))
     out = np.zeros((len(s.size), k, k))
     for group, running in _groups(s.size, chosen):
-        _, emit = _emissions(s, model, group, len(running))
-        now = emit[0][:, None, :] * np.eye(k)
+        at, _, emit = _emissions(s, model, group, running)
+        # by entry state, segment and state: a step multiplies whole rows of segments
+        now = np.eye(k)[:, None, :] * emit[:len(group)]
+        moved = np.empty_like(now)
         for t, n in enumerate(running):
             if t:
-                np.multiply((now[:n].reshape(-1, k) @ model.move).reshape(n, k, k), emit[t, :n, None, :], out=now[:n])
+                np.matmul(now[:, :n], model.move, out=moved[:, :n])
+                np.multiply(moved[:, :n], emit[at[t]:at[t] + n], out=now[:, :n])
             if t % RESCALE == RESCALE - 1:
-                now[:n] /= now[:n].reshape(n, -1).max(axis=1)[:, None, None]
-        out[group] = now / now.reshape(len(now), -1).max(axis=1)[:, None, None]
+                now[:, :n] /= (now[:, :n] @ ones).sum(axis=0)[:, None]
+        out[group] = (now / (now @ ones).sum(axis=0)[:, None]).transpose(1, 0, 2)
     return out
 
 
@@ -242,10 +288,10 @@ def log_likelihoods(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     entry, _, _ = _borders(s, model, backward=False)
     out, ones = np.zeros(len(s.size)), np.ones(len(model.start))
     for group, running in _groups(s.size, np.arange(len(s.size))):
-        _, emit = _emissions(s, model, group, len(running))
+        at, _, emit = _emissions(s, model, group, running)
         now, total = entry[group], np.zeros(len(group))
         for t, n in enumerate(running):
-            now[:n] = (now[:n] @ model.move if t else now) * emit[t, :n]
+            now[:n] = (now[:n] @ model.move if t else now) * emit[at[t]:at[t] + n]
             if t % RESCALE == RESCALE - 1:
                 scale = now[:n] @ ones
                 total[:n] += np.log(scale)
@@ -268,35 +314,40 @@ def expect(sequences: list[np.ndarray], model: Model) -> Expected:
     k, ones = len(model.start), np.ones(len(model.start))
     s = cut(sequences)
     entry, earlier, exit_ = _borders(s, model, backward=True)
-    start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
+    start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape[::-1]), 0.0
     for group, running in _groups(s.size, np.arange(len(s.size))):
         steps, size = len(running), s.size[group]
-        token, emission = _emissions(s, model, group, steps)
-        alpha, scales = np.zeros((steps, len(group), k)), {}
+        at, token, emission = _emissions(s, model, group, running)
+        alpha, scales = np.empty_like(emission), {}
         for t, n in enumerate(running):
-            np.multiply(alpha[t - 1, :n] @ model.move if t else entry[group], emission[t, :n], out=alpha[t, :n])
+            now = alpha[at[t]:at[t] + n]
+            if t:
+                np.matmul(alpha[at[t - 1]:at[t - 1] + n], model.move, out=now)
+                now *= emission[at[t]:at[t] + n]
+            else:
+                np.multiply(entry[group], emission[:n], out=now)
             if t % RESCALE == RESCALE - 1:
-                scales[t] = alpha[t, :n] @ ones
-                alpha[t, :n] /= scales[t][:, None]
+                scales[t] = now @ ones
+                now /= scales[t][:, None]
                 log += float(np.log(scales[t]).sum())
         # weights behind the end, such that state probabilities sum to one at every step
-        last = alpha[size - 1, np.arange(len(group))]
+        last = alpha[at[size - 1] + np.arange(len(group))]
         log += float(np.log(last @ ones).sum())
         beta = exit_[group] / np.einsum("nk,nk->n", last, exit_[group])[:, None]
         for t in range(steps - 1, -1, -1):
             n = running[t]
-            behind = emission[t, :n] * beta[:n]
+            behind = emission[at[t]:at[t] + n]
+            behind *= beta[:n]
             if t in scales:
                 behind /= scales[t][:, None]
-            move += (alpha[t - 1, :n] if t else earlier[group]).T @ behind
-            alpha[t, :n] *= beta[:n]
+            move += (alpha[at[t - 1]:at[t - 1] + n] if t else earlier[group]).T @ behind
+            alpha[at[t]:at[t] + n] *= beta[:n]
             np.matmul(behind, model.move.T, out=beta[:n])
-        start += alpha[0][s.number[group] == 0].sum(axis=0)
-        for a in range(0, steps, 32):
-            used = np.arange(a, min(a + 32, steps))[:, None] < size
-            cell = token[a:a + 32][used][:, None] * k + np.arange(k)
-            emit += np.bincount(cell.reshape(-1), alpha[a:a + 32][used].reshape(-1), emit.size).reshape(emit.shape)
-    return Expected(start, move * model.move, emit, log)
+        start += alpha[:len(group)][s.number[group] == 0].sum(axis=0)
+        for a in range(0, len(token), 1 << 15):
+            for j in range(k):
+                emit[j] += np.bincount(token[a:a + (1 << 15)], alpha[a:a + (1 << 15), j], len(model.emit))
+    return Expected(start, move * model.move, emit.T, log)
 
 
 def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:

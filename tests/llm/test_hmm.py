@@ -88,6 +88,31 @@ def test_recursions_equal_plain_loops(short):
     assert hmm.log_likelihoods([], m).shape == (0,)
 
 
+def test_steps_hold_no_gaps(short):
+    """A group of long and short segments works on its tokens alone, not on steps times segments."""
+    rng = np.random.default_rng(4)
+    m = model(3, 9)
+    texts = [rng.integers(0, 9, n).astype(np.uint16) for n in (5, 1, 3, 1, 1, 2)]
+    s = hmm.cut(texts)
+    (group, running), = hmm._groups(s.size, np.arange(len(s.size)))
+    at, token, emit = hmm._emissions(s, m, group, running)
+    assert len(token) == len(emit) == sum(len(x) for x in texts)
+    for i, x in enumerate(group):
+        assert [token[at[t] + i] for t in range(s.size[x])] == list(texts[s.text[x]])
+    assert np.array_equal(emit, m.emit[token])
+
+
+def test_places_of_known_hashes():
+    rng = np.random.default_rng(5)
+    ends = np.array([0, 1, 2**64 - 1], dtype=np.uint64)
+    crowded = np.uint64(7 << 40) + np.arange(50, dtype=np.uint64)
+    for known in (np.zeros(0, np.uint64), ends, np.unique(np.concatenate([ends, crowded, rng.integers(0, 2**64, 300, dtype=np.uint64)]))):
+        asked = np.concatenate([known, ends, crowded + np.uint64(1), rng.integers(0, 2**64, 300, dtype=np.uint64)])
+        place = {int(h): k for k, h in enumerate(known)}
+        assert hmm._finder(known)(asked).tolist() == [place.get(int(h), len(known)) for h in asked]
+    assert hmm._finder(ends[:2])(ends).tolist() == [0, 1, 2]
+
+
 def test_probabilities_of_all_short_texts_sum_to_one():
     m = model(2, 3)
     texts = [np.array(x, dtype=np.uint16) for x in np.ndindex(3, 3, 3, 3)]
