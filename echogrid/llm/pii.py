@@ -232,7 +232,7 @@ class Model:
         return self.score(lambda f: c[f]) >= cut
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, loose: Column | None = None) -> Model:
     """Fit on a bounded draw of candidates, at most `sample` in all and as many for each kind and label, and calibrate on all.
 
     Candidates of equal features are one row with their number. Rows are drawn by a hash of label and features, so the same
@@ -240,9 +240,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
 
     Labels are weak and rest on `evidence`, not on the base rules, so that loose forms outside the base can be good. The cut of
     a kind is the lowest tenth of the score from which on at least `precision` of the candidates of all documents are good; a
-    kind without one adds nothing. Where all candidates are good, all are added; where none is, nothing.
+    kind without one adds nothing. Where all candidates are good, all are added; where none is, nothing. `loose` is what
+    `candidates` gives for the texts, if the caller has it.
     """
-    counted = docs.select(F.explode(candidates(F.coalesce("text", F.lit(""))))).select("col.*").groupBy("kind_no", "good", *FEATURES).agg(F.count("*").alias("n_rows"))
+    counted = docs.select(F.explode(candidates(F.coalesce("text", F.lit(""))) if loose is None else loose)).select("col.*").groupBy("kind_no", "good", *FEATURES).agg(F.count("*").alias("n_rows"))
     counted = materialize(counted.withColumn("draw", F.xxhash64("kind_no", "good", *FEATURES, F.lit(3))))
     strata = counted.select("kind_no", "good").distinct().orderBy("kind_no", "good").collect()
     if not any(r["good"] for r in strata):
@@ -267,10 +268,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     return Model(trees, cuts)
 
 
-def found_spans(text: Column, model: Model) -> Column:
-    """struct<base, every>: the base spans, and all spans: the model's join the base ones, equal spans of a kind once."""
-    added = F.transform(F.filter(candidates(text), model.chosen), lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind"), c["end"].alias("end")))
-    return once(base_spans(text), lambda base: F.struct(base.alias("base"), F.array_sort(F.array_distinct(F.concat(base, added))).alias("every")))
+def found_spans(docs: DataFrame, model: Model | None = None) -> Column:
+    """struct<base, every>: the base spans, and all spans: the model's join the base ones, equal spans of a kind once.
+
+    Without a model one is fitted on `docs`. The patterns are put into columns once, for the fit and the search, and before the
+    fit: its many short jobs let the driver's heap grow, and what the driver makes afterwards fills that room.
+    """
+    text = F.coalesce("text", F.lit(""))
+    loose, fixed = candidates(text), base_spans(text)
+    model = model or fit(docs, loose=loose)
+    added = F.transform(F.filter(loose, model.chosen), lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind"), c["end"].alias("end")))
+    return once(fixed, lambda base: F.struct(base.alias("base"), F.array_sort(F.array_distinct(F.concat(base, added))).alias("every")))
 
 
 def _written(spans: Column) -> Column:
@@ -283,8 +291,7 @@ def pii_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Repeated rows and null doc_ids stay rows of their own. An empty table gives no rows.
     """
-    model = model or fit(docs)
-    spanned = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", found_spans(F.col("text"), model).alias("found"))
+    spanned = docs.select("doc_id", found_spans(docs, model).alias("found"))
     number = lambda n: F.size(F.filter("found.base", lambda s: s["kind"] == n)).cast("long")
     counts = [number(n).alias(f"n_{k}") for n, k in enumerate(BASE)]
     return spanned.select("doc_id", *counts, F.sha2(_written(F.col("found.base")), 256).alias("base_sha256"), _written(F.col("found.every")).alias("spans"))
@@ -295,8 +302,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null texts stay null. A column n_chars, where there is one, follows the new text.
     """
-    model = model or fit(docs)
-    every = found_spans(F.coalesce("text", F.lit("")), model)["every"]
+    every = found_spans(docs, model)["every"]
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
     # spans inside lambdas only, so that no column name is taken; blocks, so that long arrays and texts stay cheap

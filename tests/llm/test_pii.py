@@ -110,6 +110,23 @@ def test_each_pattern_is_read_once_a_text(spark, capfd, made):
     assert all(plan.count(f", {pii.PATTERNS[k]}, -1)") == 1 and plan.count(f", {pii.LOOSE[k]}, -1)") == 1 for k in pii.BASE)
 
 
+@pytest.mark.parametrize("made", [pii.pii_report, pii.redacted])
+def test_patterns_are_put_into_columns_once_and_before_the_fit(spark, planted, monkeypatch, made):
+    """A driver's heap grows during the fit; columns made again afterwards filled it."""
+    steps = []
+
+    def noted(owner, name):
+        inner = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, **k: (steps.append(name), inner(*a, **k))[1])
+
+    noted(pii, "candidates")
+    noted(pii, "base_spans")
+    noted(pii.GBTClassifier, "fit")
+    docs = spark.createDataFrame([(k, t, 0, 0, 0) for k, t, _ in planted[:90]], KIND)
+    assert made(docs).columns[0] == "doc_id"
+    assert steps == ["candidates", "base_spans", "fit"]
+
+
 def test_time_grows_with_the_text(spark):
     model = pii.Model([(1.0, ["Predict: 1.0"])], dict.fromkeys(range(len(pii.KINDS)), 0.5))
     unit = "call 555-867-5309 or a@b.org at 10.1.2.3, card 4111 1111 1111 1111; "
