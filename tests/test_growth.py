@@ -95,3 +95,52 @@ def test_stale_timer_of_a_device_does_no_work():
     assert whole["seq"].tolist() == list(range(40)) and list(whole.columns) == [*rows, *outputs]
     assert all((whole[c].to_numpy() == want[c]).all() for c in outputs)
     assert not list(machine.handleExpiredTimer((1,), at(60_000), None)) and not kept
+
+
+def test_tiled_join_equals_a_plain_join(spark, monkeypatch):
+    """Every pair once, whatever the tiles: a hot key, keys on one side only, null keys, repeated rows, no pairs; no task has most of the rows."""
+    from echogrid.operators import joins
+
+    left = spark.createDataFrame([(1 if k % 3 else k % 40, k % 200) for k in range(600)] + [(None, 7)], "key int, row int")
+    right = spark.createDataFrame([(1 if k % 2 else k % 50, f"n{k % 90}") for k in range(180)] + [(None, "d")], "key int, name string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(left.join(right, ["key"]))
+    assert rows(joins.tiled_join(left, right, ["key"])) == want and len(want) > 30_000
+    for name, value in {"TASK_PAIRS": 2_000, "LEAST_PAIRS": 500, "TILE_ROWS": 16}.items():
+        monkeypatch.setattr(joins, name, value)
+    for few in (joins.FEW_KEYS, 0):
+        monkeypatch.setattr(joins, "FEW_KEYS", few)
+        got = joins.tiled_join(left, right, ["key"])
+        assert got.columns == ["key", "row", "name"] and rows(got) == want
+        parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 8 and max(parts) < len(want) / 4
+    assert joins.tiled_join(left.where("key > 1000"), right, ["key"]).collect() == []
+
+
+def test_messages_are_written_once_a_fall_and_dealt_by_pairs(spark):
+    """Few bytes of falls make many messages: several tasks share them, and the text is made before the join. Keys repeat and are null."""
+    from echogrid.streaming import sinks
+
+    falls = spark.createDataFrame([(k % 90, k % 3, k % 7 if k % 5 else None, k, k / 2000 if k % 11 else None, None if k % 13 else "unknown_device") for k in range(1500)],
+                                  "device_id long, facility_id int, resident_id long, seq long, proba_fall double, reject_reason string")
+    falls = falls.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    people = [(k, k % 4 if k % 17 else None, None if k % 3 else k % 7, k % 10 > 0, k % 9 > 0, f"t{k}" if k % 8 else None) for k in range(1800)] + [(1, 1, None, True, True, "t1")]
+    recipients = spark.createDataFrame(people, "recipient_id long, facility_id int, resident_id long, enabled boolean, push boolean, topic string")
+    out = sinks.notifications(falls, recipients)
+    assert out.columns[-3:] == ["recipient_id", "topic", "message"]
+
+    counts, want = {}, []
+    for f in sorted(falls.collect(), key=lambda f: f.seq):
+        if f.reject_reason is None:
+            owner = ("r", f.resident_id) if f.resident_id is not None else ("d", f.device_id)
+            counts[owner] = counts.get(owner, 0) + 1
+            want += [(f.seq, r, counts[owner]) for r, place, who, on, push, topic in people if place == f.facility_id and who in (None, f.resident_id) and on and push and topic]
+    got = out.select("seq", "recipient_id", "fall_count", "message", F.spark_partition_id().alias("part")).toPandas()
+    assert sorted(zip(got["seq"], got["recipient_id"], got["fall_count"], strict=True)) == sorted(want) and len(want) > 250_000
+    assert all(m.endswith(f"(누적 {n}회)") for m, n in zip(got["message"], got["fall_count"], strict=True))
+    assert got["part"].value_counts().max() < len(got) * 0.8
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    joins = [(k, depth(line)) for k, line in enumerate(plan) if "Join Inner" in line and "__row#" in line and "__column#" in line]
+    texts = [(k, depth(line)) for k, line in enumerate(plan) if "format_string(낙상" in line]
+    assert len(joins) == 2 and texts and all(below > [d for j, d in joins if j < k][-1] for k, below in texts)
